@@ -60,7 +60,7 @@ PY_CLASS_SYMBOL = r"(?m)^class\s+(\w+)"
 SYMBOL_SPAN = {"function": 10, "js_class": 30, "py_class": 20}
 IMPORT = r"(?:import|require)\s*(?:\{[^}]*\}|\*\s+as\s+\w+|\w+)?\s*(?:from\s*)?['\"]([^'\"]+)['\"]"
 WIDE_IMPORT = (
-    r"(?:\bimport\b[^'\";]*?(?:\bfrom\s*)?|\brequire\s*\(?\s*|\bimport\s*\(\s*)['\"]([^'\"]+)['\"]"
+    r"(?:(?<!\w)import(?!\w)[^'\";]*?(?:(?<!\w)from\s*)?|(?<!\w)require\s*\(?\s*|(?<!\w)import\s*\(\s*)['\"]([^'\"]+)['\"]"
 )
 
 # --- Fixed values: patterns for functions and their facts --------------------------------------
@@ -83,26 +83,26 @@ METHOD_STOP_WORDS = [
 ]
 PY_FUNCTION = r"(?m)^(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)"
 
-TRY_LINE = r"\btry\s*\{"
-CATCH = r"\bcatch\s*\(\s*(\w*)\s*\)"
+TRY_LINE = r"(?<!\w)try\s*\{"
+CATCH = r"(?<!\w)catch\s*\(\s*(\w*)\s*\)"
 ONLY_LOGS = r"\A\s*(?:console\.(?:log|error|warn|info|debug)\([^)]*\);?\s*)++\z"
 LOG_CALL = r"console\.(?:log|error|warn|info|debug)"
 ONLY_COMMENTS = r"\A(?:\s*+(?://.*+)?(?:\n|\z))*+\z"
-RETURN_VALUE = r"\breturn\s+(.*?)(?:;|\n|\z)"
-RETURN_BARE = r"\breturn\s*;"
-PROMISE_RETURN = r"\bnew\s+Promise\b|Promise\.|\bawait\b"
-THROW = r"\bthrow\s+((?:new\s+)?(?:\w+Error|Error)[^;]*?)(?:;|\n|\z)"
-AWAIT = r"\bawait\s+([\w.]+\([^)]*\))"
-DOTTED_CALL = r"\b((?:this\.)?[\w]+(?:\.[\w]+)+)\s*\("
+RETURN_VALUE = r"(?<!\w)return\s+(.*?)(?:;|\n|\z)"
+RETURN_BARE = r"(?<!\w)return\s*;"
+PROMISE_RETURN = r"(?<!\w)new\s+Promise(?!\w)|Promise\.|(?<!\w)await(?!\w)"
+THROW = r"(?<!\w)throw\s+((?:new\s+)?(?:\w+Error|Error)[^;]*?)(?:;|\n|\z)"
+AWAIT = r"(?<!\w)await\s+([\w.]+\([^)]*\))"
+DOTTED_CALL = r"(?<!\w)((?:this\.)?[\w]+(?:\.[\w]+)+)\s*\("
 EXTERNAL_NAMES = [
     "db", "database", "pool", "knex", "prisma", "mongoose", "stripe", "paypal", "braintree",
     "axios", "fetch", "http", "https", "request", "redis", "cache", "memcached", "aws", "s3",
     "sqs", "sns", "ses", "sendgrid", "mailgun", "nodemailer", "twilio", "plaid", "client", "api",
 ]
 FUNCTION_BRANCHES = [
-    r"\bif\s*\(", r"\belse\s+if\s*\(", r"\bswitch\s*\(", r"\bcatch\s*\(", r"\?\s", r"\|\|", "&&",
+    r"(?<!\w)if\s*\(", r"(?<!\w)else\s+if\s*\(", r"(?<!\w)switch\s*\(", r"(?<!\w)catch\s*\(", r"\?\s", r"\|\|", "&&",
 ]
-FILE_BRANCH = r"\bif\b|\belse\b|\bswitch\b|\bcase\b|\?\s"
+FILE_BRANCH = r"(?<!\w)if(?!\w)|(?<!\w)else(?!\w)|(?<!\w)switch(?!\w)|(?<!\w)case(?!\w)|\?\s"
 
 # --- Fixed values: patterns and word lists of the detectors --------------------------------------
 
@@ -129,12 +129,12 @@ SQL_CALL = (
     r"(?:db|pool|connection|knex|client)\.(?:query|execute|run)\s*\(\s*"
     r"(?:`[^`]*\$\{[^}]+\}|['\"][^'\"]*['\"\s]*\+)"
 )
-REQUEST_DATA = r"\breq\.(?:body|params|query)\b"
+REQUEST_DATA = r"(?<!\w)req\.(?:body|params|query)(?!\w)"
 VALIDATION_WORDS = [
     "zod", "joi", "yup", "express-validator", "validate", "schema.parse", "z.parse",
 ]
-RESPONSE_SEND = r"\bres\s*\.\s*(?:json|send|status)\b"
-ERROR_DETAIL = r"\berr(?:or)?\s*\.\s*(?:message|stack)\b|String\s*\(\s*err(?:or)?\s*\)"
+RESPONSE_SEND = r"(?<!\w)res\s*\.\s*(?:json|send|status)(?!\w)"
+ERROR_DETAIL = r"(?<!\w)err(?:or)?\s*\.\s*(?:message|stack)(?!\w)|String\s*\(\s*err(?:or)?\s*\)"
 ASSIGNED_CALL = r"(?:const|let|var)\s+(\w+)\s*=\s*(?!await\s)([\w.]+)\s*\("
 KNOWN_ASYNC = [
     "db.query", "db.findone", "db.find", "mongoose", "fetch", "axios", "stripe", "redis",

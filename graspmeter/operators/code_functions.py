@@ -170,8 +170,11 @@ def _py_functions(content: Column) -> Column:
     return let(_cut(mark_hits(content, K.PY_FUNCTION)), one)
 
 
-def candidates(files: DataFrame) -> DataFrame:
-    """All JavaScript/TypeScript function candidates by rule, before any body is looked for."""
+def candidates(files: DataFrame, keep_keywords: bool = False) -> DataFrame:
+    """JavaScript/TypeScript function candidates by rule, before any body is looked for.
+
+    Method candidates that are reserved words (``if (..) {``) are left out unless asked for.
+    """
     marked = F.array(*[mark_hits(F.col("content"), p) for p in _JS_RULES])
     rows = F.transform(
         F.transform(marked, _cut),
@@ -190,6 +193,8 @@ def candidates(files: DataFrame) -> DataFrame:
         .select("file_id", F.explode(F.flatten(rows)).alias("c"))
         .select("file_id", "c.*")
     )
+    if keep_keywords:
+        return out
     return out.where(
         (F.col("rule") != _METHOD_RULE)
         | (~F.col("name").isin(K.METHOD_STOP_WORDS) & F.col("name").rlike(r"\A[a-zA-Z_$]"))
@@ -395,8 +400,8 @@ def try_blocks(body: Column, start_line: Column) -> Column:
             (start_line + b["catch_end"]).alias("catch_end"),
             b["catch_param"].alias("catch_param"),
             b["catch_body"].alias("catch_body"),
-            b["catch_body"].rlike(r"\bthrow\b").alias("has_rethrow"),
-            b["catch_body"].rlike(r"\breturn\b").alias("has_return"),
+            b["catch_body"].rlike(r"(?<!\w)throw(?!\w)").alias("has_rethrow"),
+            b["catch_body"].rlike(r"(?<!\w)return(?!\w)").alias("has_return"),
             trim(b["catch_body"]).rlike(K.ONLY_LOGS).alias("only_logs"),
         ),
     )
@@ -453,7 +458,7 @@ def awaits(body: Column, start_line: Column, blocks: Column) -> Column:
 
 _EXTERNAL = rf"\A(?:{'|'.join(K.EXTERNAL_NAMES)})\.|\.(?:{'|'.join(K.EXTERNAL_NAMES)})"
 # Group 1 takes part only when `await` and at most five blanks stand before the call.
-_AWAITED_CALL = rf"(?:(?<=(\bawait\s{{1,4}}|await\s{{5}})))?{K.DOTTED_CALL}"
+_AWAITED_CALL = rf"(?:(?<=((?<!\w)await\s{{1,4}}|await\s{{5}})))?{K.DOTTED_CALL}"
 
 
 def external_calls(body: Column, start_line: Column, blocks: Column) -> Column:
@@ -483,8 +488,8 @@ def null_checked(body: Column, params: Column) -> Column:
 
     def checked(n: Column) -> Column:
         rx = F.concat(
-            F.lit(r"if\s*\((?:!\s*"), n, F.lit(r"\b|"), n,
-            F.lit(r"\s*(?:[=!]==\s*(?:null|undefined)|==\s*null)\b)|"), n,
+            F.lit(r"if\s*\((?:!\s*"), n, F.lit(r"(?!\w)|"), n,
+            F.lit(r"\s*(?:[=!]==\s*(?:null|undefined)|==\s*null)(?!\w))|"), n,
             F.lit(r"\s*(?:\?\?\s|\?\.)|typeof\s+"), n, F.lit(r"\s*===\s*['\"]undefined['\"]"),
         )
         return F.rlike(body, rx)

@@ -113,8 +113,8 @@ def _unchecked_parameter() -> Column:
 
     def usage(name: Column) -> Column:
         """Line and text of the first member access, else of the first mention."""
-        member = F.concat(F.lit(r"\b"), name, F.lit(r"\b(?:\.[\w]+|\[)"))
-        mention = F.concat(F.lit(r"\b"), name, F.lit(r"\b"))
+        member = F.concat(F.lit(r"(?<!\w)"), name, F.lit(r"(?!\w)(?:\.[\w]+|\[)"))
+        mention = F.concat(F.lit(r"(?<!\w)"), name, F.lit(r"(?!\w)"))
 
         def hit(rx: Column) -> Column:
             return F.when(
@@ -364,8 +364,8 @@ def _dead_code() -> Column:
     body, start = F.col("body"), F.col("start_line")
 
     def reasons(text: Column) -> Column:
-        return F.when(text.rlike(r"\breturn\b"), "return statement").when(
-            text.rlike(r"\bthrow\b"), "throw statement"
+        return F.when(text.rlike(r"(?<!\w)return(?!\w)"), "return statement").when(
+            text.rlike(r"(?<!\w)throw(?!\w)"), "throw statement"
         )
 
     def rows(lines: Column) -> Column:
@@ -420,7 +420,7 @@ def _dead_code() -> Column:
             ),
         ),
     )
-    return F.when(body.rlike(r"\b(?:return|throw)\b"), found).otherwise(_none())
+    return F.when(body.rlike(r"(?<!\w)(?:return|throw)(?!\w)"), found).otherwise(_none())
 
 
 def _dead(at: Column, text: Column, cause: Column) -> Column:
@@ -430,7 +430,7 @@ def _dead(at: Column, text: Column, cause: Column) -> Column:
 
 
 # Group 3 is the text from the call to the next mention of the assigned name, if there is one.
-_ASSIGNED_CALL = K.ASSIGNED_CALL + r"(?:(?=([\s\S]*?\b\1\b)))?"
+_ASSIGNED_CALL = K.ASSIGNED_CALL + r"(?:(?=([\s\S]*?(?<!\w)\1(?!\w))))?"
 _ASYNC_CALLEE = "|".join(n.replace(".", r"\.") for n in K.KNOWN_ASYNC)
 
 
@@ -450,7 +450,7 @@ def _missing_await() -> Column:
                 _evidence(
                     kind=F.lit("missing_await"),
                     async_call=h["g2"],
-                    function_is_async=F.substring_index("full_source", "\n", 1).rlike(r"\basync\b"),
+                    function_is_async=F.substring_index("full_source", "\n", 1).rlike(r"(?<!\w)async(?!\w)"),
                     result_used_on_line=F.when(
                         h["g3"] != "", start + h["line"] + newlines(h["g3"])
                     ),

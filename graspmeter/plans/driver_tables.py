@@ -87,17 +87,64 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- modules: import lines and classes, one file per part -------------------------------
+
+_MODULE_COLUMNS = {
+    "file_id": "CAST(p_partkey AS VARCHAR(20))",
+    "path": (
+        "concat('/ws/', replace(p_brand, '#', ''), CASE p_partkey % 7 WHEN 0 THEN '/node_modules/' "
+        "WHEN 1 THEN '/.cache/' WHEN 2 THEN '/lib/api/' ELSE '/src/' END, 'm_', "
+        "CAST(p_partkey AS VARCHAR(20)), CASE p_partkey % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.TSX' "
+        "WHEN 2 THEN '.js' WHEN 3 THEN '.jsx' WHEN 4 THEN '.py' ELSE '.md' END)"
+    ),
+    "relative_path": (
+        "concat('src/d', CAST(p_size % 5 AS VARCHAR(20)), '/m_', CAST(p_partkey AS VARCHAR(20)), '.ts')"
+    ),
+    "repo": "p_brand",
+    "language": "CASE WHEN p_partkey % 6 = 4 THEN 'python' ELSE 'typescript' END",
+    "content": (
+        "concat('import { a } from \"./m_', CAST(p_size AS VARCHAR(20)), '\";', chr(10), "
+        "'import * as b from \"../d1/m_', CAST(p_partkey % 11 AS VARCHAR(20)), '\";', chr(10), "
+        "'import r from \"react\";', chr(10), 'const c = require(\"./lost\");', chr(10), "
+        "'export class C_', CAST(p_partkey AS VARCHAR(20)), ' {', chr(10), '  run() {}', chr(10), '}', "
+        "chr(10), 'import { z } from \"./m_', CAST(p_size AS VARCHAR(20)), '\";', chr(10), "
+        "'class D {}', chr(10), 'export const go = async (x) => { return x; };', chr(10), "
+        "'async function f(a) { if (a) { return a ? 1 : 2; } }')"
+    ),
+}
+MODULE_FILES_SQL = (
+    "SELECT " + ", ".join(f"{e} AS {c}" for c, e in _MODULE_COLUMNS.items()) + ", p_partkey AS n, p_size FROM part"
+)
+
+
+def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with imports and classes; ``path`` also meets skipped folders and other extensions."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    return part.selectExpr(*[f"{e} AS {c}" for c, e in _MODULE_COLUMNS.items()])
+
+
 # --- answers, sessions, questions, risky files --------------------------------------------
 
 QUESTIONS_SQL = """
 SELECT p_partkey AS question_id, p_brand AS file, p_type AS category,
-       1 + p_size % 5 AS difficulty, CAST(substr(p_brand, 7) AS INT) AS brand_no
+       CAST(1 + p_size % 5 AS INT) AS difficulty, p_size AS start_line, p_size + 5 AS end_line,
+       p_name AS question, concat('see ', p_name) AS explanation, CAST(p_size % 4 AS INT) AS right_no
 FROM part"""
 
+# Texts of the options; a wrong belief each, so that every rule of the grader is met.
+OPTION_TEXTS = [
+    "Express will catch it", "The TypeScript type system is enough", "It retries", "A global error handler",
+    "It returns null", "The .gitignore", "Nothing happens", "It stops",
+]
+
+# Answers on one brand are left out, so that one risky file has no score.
 ANSWERS_SQL = """
 SELECT l_orderkey AS session_id, l_linenumber AS pos, l_partkey AS question_id,
        l_suppkey AS tie_1, l_extendedprice AS tie_2,
-       l_quantity <= 2 * CAST(substr(p_brand, 7) AS INT) AS is_correct, l_shipdate AS ts
+       l_quantity <= 2 * CAST(substr(p_brand, 7) AS INT) AS is_correct, l_shipdate AS ts,
+       CASE WHEN l_quantity = 50 THEN 'E'
+            WHEN l_quantity <= 2 * CAST(substr(p_brand, 7) AS INT) THEN chr(CAST(65 + p_size % 4 AS INT))
+            ELSE chr(CAST(65 + (p_size + 1) % 4 AS INT)) END AS selected_label
 FROM lineitem JOIN part ON l_partkey = p_partkey
 WHERE p_brand <> 'Brand#17'"""
 
@@ -107,9 +154,9 @@ SELECT o_orderkey AS session_id, o_custkey AS user_id, o_orderdate AS start_ts,
 FROM orders"""
 
 CRITICAL_SQL = """
-SELECT DISTINCT p_brand AS file, concat('./', p_brand) AS abs_file,
+SELECT DISTINCT p_brand AS file, concat('/ws/', p_brand) AS abs_file,
        CASE CAST(substr(p_brand, 7) AS INT) % 3 WHEN 0 THEN 'auth' WHEN 1 THEN 'payments' ELSE 'database' END AS category,
-       least(10, 1 + CAST(substr(p_brand, 7) AS INT) % 10) AS risk_level
+       CAST(least(10, 1 + CAST(substr(p_brand, 7) AS INT) % 10) AS INT) AS risk_level
 FROM part
 WHERE CAST(substr(p_brand, 7) AS INT) % 8 <> 0"""
 
@@ -117,22 +164,54 @@ WHERE CAST(substr(p_brand, 7) AS INT) % 8 <> 0"""
 ANSWER_ORDER = ["pos", "question_id", "tie_1", "tie_2"]
 
 
+def _sql(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    for name in names:
+        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(QUESTIONS_SQL.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return _sql(spark, sf_dir, QUESTIONS_SQL, "part")
+
+
+def questions_with_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = F.array(*[F.lit(t) for t in OPTION_TEXTS])
+    options = F.transform(
+        F.array(*[F.lit(i) for i in range(4)]),
+        lambda i: F.struct(
+            F.chr(65 + i).alias("label"),
+            F.concat(F.get(texts, ((F.col("question_id") + i) % 8).cast("int")), F.lit(" "), F.col("question")).alias("text"),
+            (i == F.col("right_no")).alias("is_correct"),
+        ),
+    )
+    return questions(spark, sf_dir).withColumn("options", options)
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = ANSWERS_SQL.replace("FROM lineitem JOIN part", "FROM {lineitem} JOIN {part}")
-    return spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
+    return _sql(spark, sf_dir, ANSWERS_SQL, "lineitem", "part")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SESSIONS_SQL.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    return _sql(spark, sf_dir, SESSIONS_SQL, "orders")
 
 
 def critical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file (relative), abs_file, category, risk_level; some files are missing on purpose."""
-    return spark.sql(CRITICAL_SQL.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return _sql(spark, sf_dir, CRITICAL_SQL, "part")
+
+
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of answers."""
+    from graspmeter.streaming.answers import answer_stream
+
+    schema = table(spark, sf_dir, "events").schema
+    raw = answer_stream(spark, sf_dir, schema, "events.parquet")
+    return raw.select(
+        F.col("event_id").alias("answer_id"),
+        "user_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+        (F.col("event_type") != "error").alias("is_correct"),
+    )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,30 +60,33 @@ def select_files(listing: DataFrame, root: Column | str, limit: int | None = Non
 _GLOB = "*.{[tT][sS],[tT][sS][xX],[jJ][sS],[jJ][sS][xX],[pP][yY]}"
 
 
-def scan_corpus(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
-    """Read a source tree: one row per file with cleaned text and line count.
+def read_tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """Path and cleaned text of every file below ``root`` whose name matches ``glob``.
 
-    The extension is pruned while listing and unreadable files are skipped. Broken UTF-8
-    gives replacement characters. Land the result once as a table: many small files are
-    slow to read again.
+    The name is matched while listing; files that vanish or cannot be read are skipped, and
+    broken UTF-8 gives replacement characters.
     """
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _GLOB)
+        .option("pathGlobFilter", glob)
         .option("ignoreMissingFiles", "true")
         .option("ignoreCorruptFiles", "true")
         .load(root)
-        .select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), F.col("content").alias("bytes"))
     )
-    clean_root = root[len("file:") :] if root.startswith("file:") else root
-    files = select_files(raw, clean_root, limit)
+    text = clean_text(F.make_valid_utf8(F.col("content").cast("string")))
+    return raw.select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), text.alias("content"))
+
+
+def scan_corpus(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+    """Read a source tree: one row per supported file with its text and line count.
+
+    Land the result once as a table: many small files are slow to read again.
+    """
+    below = root[len("file:") :] if root.startswith("file:") else root
+    files = select_files(read_tree(spark, root, _GLOB), below, limit)
     return files.select(
-        F.col("path").alias("file_id"),
-        "path",
-        "relative_path",
-        "language",
-        clean_text(F.make_valid_utf8(F.col("bytes").cast("string"))).alias("content"),
+        F.col("path").alias("file_id"), "path", "relative_path", "language", "content"
     ).withColumn("line_count", line_count(F.col("content")))
 
 
