@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +50,12 @@ def _all_categories() -> Column:
 
 def _first_category() -> Column:
     """First category with a word; the later ones are not looked at."""
+    def attempt(category: str, words: Column) -> Column:
+        return F.when(F.size(words) > 0, F.struct(F.lit(category).alias("category"), words.alias("words")))
+
     def build(c: Column, n: Column, p: Column) -> Column:
         tries = [
-            let(
-                _words(cat, c, n, p),
-                lambda w, cat=cat: F.when(
-                    F.size(w) > 0, F.struct(F.lit(cat).alias("category"), w.alias("words"))
-                ),
-            )
-            for cat in K.CATEGORY_WORDS
+            let(_words(cat, c, n, p), partial(attempt, cat)) for cat in K.CATEGORY_WORDS
         ]
         return F.coalesce(*tries)
 
@@ -83,7 +82,7 @@ def with_risk(files: DataFrame) -> DataFrame:
     return files.withColumn("m", _FIRST()).withColumns(
         {
             "category": F.col("m.category"),
-            "risk_level": F.coalesce(risk_level(F.size("m.words")), F.lit(1)),
+            "risk_level": F.when(F.col("m").isNull(), 1).otherwise(risk_level(F.size("m.words"))),
             "critical_patterns": F.coalesce("m.words", F.array().cast("array<string>")),
         }
     ).drop("m")
