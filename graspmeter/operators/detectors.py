@@ -512,6 +512,16 @@ _ALL = once(lambda: F.array_sort(_first_per_line(F.concat(*[_tagged(n) for n in
 _ONE = {n: once(lambda n=n: F.array_sort(_first_per_line(_tagged(n)))) for n in RULE_NAMES}
 
 
+def _rule_value(column: str) -> Column:
+    """Fixed text of the finding's rule; a twelve-entry map literal, so no join."""
+    entries = []
+    for name, rule in RULES.items():
+        value = rule[column]
+        lit = F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
+        entries += [F.lit(name), lit]
+    return F.element_at(F.create_map(*entries), F.col("type"))
+
+
 def _rows(funcs: DataFrame, found: Column) -> DataFrame:
     names = F.array(*[F.lit(n) for n in RULE_NAMES])
     return funcs.select(
@@ -527,7 +537,7 @@ def _rows(funcs: DataFrame, found: Column) -> DataFrame:
         F.col("x.line").alias("line"),
         F.col("x.end_line").alias("end_line"),
         F.map_from_entries("x.evidence").alias("evidence"),
-    )
+    ).withColumns({"severity": _rule_value("severity"), "category": _rule_value("category")})
 
 
 def detect(funcs: DataFrame, rule: str) -> DataFrame:
@@ -540,18 +550,8 @@ def detect_all(funcs: DataFrame) -> DataFrame:
     return _rows(funcs, _ALL())
 
 
-def _rule_value(column: str) -> Column:
-    """Fixed text of the finding's rule; a twelve-entry map literal, so no join."""
-    entries = []
-    for name, rule in RULES.items():
-        value = rule[column]
-        lit = F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
-        entries += [F.lit(name), lit]
-    return F.element_at(F.create_map(*entries), F.col("type"))
-
-
 def describe(findings: DataFrame) -> DataFrame:
-    """Add severity, category and the filled-in texts of the rule."""
+    """Add the filled-in texts of the rule. Do it last: the picks before need no texts."""
     fields = F.map_concat(
         "evidence",
         F.create_map(
@@ -562,8 +562,6 @@ def describe(findings: DataFrame) -> DataFrame:
     )
     return findings.withColumns(
         {
-            "severity": _rule_value("severity"),
-            "category": _rule_value("category"),
             "description": render(_rule_value("description"), fields),
             "consequence": render(_rule_value("consequence"), fields),
             "correct_behavior": render(_rule_value("correct_behavior"), fields),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graspmeter import constants as K
 from graspmeter.functions.text import once, render
+from graspmeter.operators.detectors import describe
 from graspmeter.question_texts import HOW_TO_FIX, OTHER, WHAT_HAPPENS
 from graspmeter.rule_texts import RULES
 
@@ -49,23 +50,18 @@ def _variant_fields(variant: int) -> Column:
         return F.when(template.isNotNull(), render(template, fields)).otherwise(default)
 
     wrong = _text(variant, "wrong")
-    known = _text(variant, "question").isNotNull()
     rule_text = F.concat(F.col("correct_behavior"), F.lit("\n\n"), F.col("consequence"))
     return F.struct(
-        F.when(known, F.lit(variant)).otherwise(F.lit(0)).alias("variant"),
         filled("question", render(OTHER, fields)).alias("question"),
         filled("correct", F.col("correct_behavior")).alias("correct"),
         F.when(wrong.isNotNull(), F.transform(wrong, lambda w: render(w, fields)))
         .otherwise(F.slice("incorrect_assumptions", 1, 3))
         .alias("wrong"),
-        (F.when(known, F.col("correct_behavior")).otherwise(rule_text) if variant else rule_text).alias(
-            "explanation"
-        ),
+        (F.col("correct_behavior") if variant else rule_text).alias("explanation"),
     )
 
 
-_VARIANTS = [once(lambda: F.array(_variant_fields(0))), once(lambda: F.array(_variant_fields(1)))]
-_BOTH = once(lambda: F.array(_variant_fields(0), _variant_fields(1)))
+_RENDERED = once(lambda: F.when(F.col("variant") == 0, _variant_fields(0)).otherwise(_variant_fields(1)))
 
 
 def shuffled(options: Column, key: Column, seed: int) -> Column:
@@ -99,9 +95,26 @@ def rejected_findings(findings: DataFrame) -> DataFrame:
     return findings.withColumn("missing_field", lacks).where(F.col("missing_field").isNotNull())
 
 
-def render_questions(findings: DataFrame, variants: str = "both", seed: int = 0) -> DataFrame:
-    """Questions of described findings, both variants each by default (``first``, ``fix``, ``both``)."""
-    built = {"first": _VARIANTS[0], "fix": _VARIANTS[1], "both": _BOTH}[variants]()
+def question_keys(findings: DataFrame, variants: str = "both") -> DataFrame:
+    """One row per finding and variant with the question's id, no texts yet.
+
+    ``variants`` is ``first``, ``fix`` or ``both``. A kind of finding without templates of its
+    own has only the general question, whatever the variant.
+    """
+    wanted = {"first": [0], "fix": [1], "both": [0, 1]}[variants]
+    own = F.col("type").isin(*RULES)
+    complete = findings.where(_present("type") & _present("file") & _present("func_name"))
+    return (
+        complete.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in wanted])))
+        .withColumn("variant", F.when(own, F.col("variant")).otherwise(0))
+        .withColumn("id", question_id(F.col("type"), F.col("file"), F.col("line"), F.col("variant")))
+    )
+
+
+def render_keys(keys: DataFrame, seed: int = 0) -> DataFrame:
+    """Questions of the rows of ``question_keys`` (described here if they are not yet)."""
+    if "correct_behavior" not in keys.columns:
+        keys = describe(keys)
     fields = F.map_concat(
         "evidence",
         F.create_map(
@@ -111,21 +124,14 @@ def render_questions(findings: DataFrame, variants: str = "both", seed: int = 0)
             F.lit("description"), F.col("description"),
         ),
     )
-    complete = findings.where(_present("type") & _present("file") & _present("func_name"))
-    passed = [c for c in findings.columns if c in ("file_id", "func_id", "pos")]
-    q = (
-        complete.withColumn("fields", fields)
-        .withColumn("q", F.explode(built))
-        .withColumn("id", question_id(F.col("type"), F.col("file"), F.col("line"), F.col("q.variant")))
-    )
+    q = keys.withColumn("fields", fields).withColumn("q", _RENDERED())
     options = F.concat(
         F.array(F.struct(F.col("q.correct").alias("text"), F.lit(True).alias("is_correct"))),
         F.transform("q.wrong", lambda w: F.struct(w.alias("text"), F.lit(False).alias("is_correct"))),
     )
     return q.select(
-        *passed,
         "id",
-        F.col("q.variant").alias("variant"),
+        "variant",
         "type",
         "severity",
         F.col("q.question").alias("question"),
@@ -142,6 +148,11 @@ def render_questions(findings: DataFrame, variants: str = "both", seed: int = 0)
     )
 
 
+def render_questions(findings: DataFrame, variants: str = "both", seed: int = 0) -> DataFrame:
+    """Questions of findings, both variants each by default."""
+    return render_keys(question_keys(findings, variants), seed)
+
+
 # --- picking ------------------------------------------------------------------------------
 
 
@@ -178,23 +189,27 @@ def first_per_rule(findings: DataFrame) -> DataFrame:
     )
 
 
-def fresh_pool(questions: DataFrame, shown: DataFrame, n: int, order: list[Column]) -> DataFrame:
+def fresh_pool(keys: DataFrame, shown: DataFrame | None, n: int, order: list[Column]) -> DataFrame:
     """First ``n`` questions not shown yet; if all have been shown, the first ``n`` of those.
 
     A top-n by (seen, order): an unseen question, if any, is among them, so the choice of
-    the pool needs only these n rows.
+    the pool needs only these n rows. Works on ``question_keys``, so only picked questions
+    are rendered.
     """
+    if shown is None:
+        return keys.orderBy(*order).limit(n)
     seen = shown.select(F.col("question_id").alias("id")).distinct().withColumn("seen", F.lit(1))
-    ranked = questions.join(seen, "id", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    ranked = keys.join(seen, "id", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     top = ranked.orderBy("seen", *order).limit(n)
     pool = F.min("seen").over(Window.partitionBy())
     return top.withColumn("pool", pool).where(F.col("seen") == F.col("pool")).drop("pool", "seen")
 
 
 def pick_order() -> list[Column]:
+    """By severity, then in order of files, functions and findings."""
     return [
-        severity_rank(F.col("severity")),
-        F.col("code_reference.file"),
+        F.col("severity_rank"),
+        F.col("file"),
         F.substring_index("func_id", "#", -1).cast("int"),
         F.col("pos"),
         F.col("variant"),
@@ -203,9 +218,11 @@ def pick_order() -> list[Column]:
 
 def count_available(findings: DataFrame) -> DataFrame:
     """Number of findings: in total, by category and by severity."""
-    counted = findings.groupingSets(
+    # Counted per pair first, so that the grouping sets only expand a handful of rows.
+    pairs = findings.groupBy("category", "severity").agg(F.count("*").alias("n"))
+    counted = pairs.groupingSets(
         [[], [F.col("category")], [F.col("severity")]], F.col("category"), F.col("severity")
-    ).agg(F.count("*").alias("n"))
+    ).agg(F.sum("n").alias("n"))
     return counted.select(
         F.when(F.col("category").isNotNull(), "category")
         .when(F.col("severity").isNotNull(), "severity")
@@ -237,31 +254,32 @@ def prioritize(
     )
 
 
+def _picked(findings: DataFrame, files: DataFrame | None, category: str | None, difficulty: int | None):
+    rows = focus(findings, files, category)
+    if difficulty is not None:
+        rows = by_difficulty(rows, difficulty)
+    return question_keys(first_per_rule(rows))
+
+
 def session_questions(
     findings: DataFrame,
     candidates: DataFrame,
-    shown: DataFrame,
+    shown: DataFrame | None,
     n: int = 10,
     difficulty: int | None = None,
     category: str | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """Questions of one session: candidate files in order of priority, then severity.
+    """Questions of one session: by severity, then candidate files in order of priority.
 
-    ``candidates(file, priority)`` as ``prioritize`` gives them.
+    ``candidates(file, priority)`` as ``prioritize`` gives them; ``findings`` as
+    ``detectors.detect_all`` does.
     """
     files = candidates.groupBy("file").agg(F.max("priority").alias("priority"))
-    picked = focus(findings, files, category)
-    if difficulty is not None:
-        picked = by_difficulty(picked, difficulty)
-    questions = render_questions(first_per_rule(picked), seed=seed)
-    ordered = questions.join(
-        files.select(F.col("file").alias("ref_file"), "priority"),
-        F.col("code_reference.file") == F.col("ref_file"),
-    ).drop("ref_file")
+    keys = _picked(findings.join(files, "file"), None, category, difficulty)
     order = pick_order()
     order.insert(1, F.col("priority").desc())
-    return fresh_pool(ordered, shown, n, order)
+    return render_keys(fresh_pool(keys, shown, n, order), seed)
 
 
 def local_questions(
@@ -274,10 +292,5 @@ def local_questions(
     seed: int = 0,
 ) -> DataFrame:
     """From all findings of a corpus to the first ``max_questions`` questions."""
-    picked = focus(findings, files, category)
-    if difficulty is not None:
-        picked = by_difficulty(picked, difficulty)
-    questions = render_questions(first_per_rule(picked), seed=seed)
-    if shown is None:
-        return questions.orderBy(*pick_order()).limit(max_questions)
-    return fresh_pool(questions, shown, max_questions, pick_order())
+    keys = _picked(findings, files, category, difficulty)
+    return render_keys(fresh_pool(keys, shown, max_questions, pick_order()), seed)

@@ -447,7 +447,7 @@ def _template_sql(texts: dict, part: str) -> str:
 
 
 def _findings(spark, sf_dir):
-    return detectors.describe(detectors.detect_all(_functions(spark, sf_dir)))
+    return detectors.detect_all(_functions(spark, sf_dir))
 
 
 def _right(options: str = "options"):
@@ -504,7 +504,9 @@ SELECT concat('RACE_CONDITION_RISK-', {_FILE}, '-', line) AS id,
 FROM b CROSS JOIN v WHERE type = 'UNCHECKED_PARAMETER'
 UNION ALL SELECT '', '', 'func_name' FROM b WHERE type = 'MISSING_AWAIT'""")
 def b5_fallback_template(spark, sf_dir):
-    found = _findings(spark, sf_dir).where(F.col("type").isin("UNCHECKED_PARAMETER", "MISSING_AWAIT"))
+    found = detectors.describe(_findings(spark, sf_dir)).where(
+        F.col("type").isin("UNCHECKED_PARAMETER", "MISSING_AWAIT")
+    )
     odd = found.withColumn(
         "func_name", F.when(F.col("type") == "MISSING_AWAIT", "").otherwise(F.col("func_name"))
     ).withColumn("type", F.when(F.col("type") == "UNCHECKED_PARAMETER", "RACE_CONDITION_RISK").otherwise(F.col("type")))
@@ -568,18 +570,23 @@ _NUMBERED = (
 
 
 def _shown(spark, sf_dir):
-    bank = detectors.detect_all(_functions(spark, sf_dir)).where(F.col("file_id").cast("bigint") % 2 == 0)
-    return bank.select(
-        questions.question_id(F.col("type"), F.col("file"), F.col("line"), F.lit(0)).alias("question_id")
+    """Shown already: the first variant of calls without error handling in files of even number."""
+    even = _files(spark, sf_dir).where(F.col("file_id").cast("bigint") % 2 == 0)
+    line = F.explode(F.array(F.lit(0), F.lit(1)))
+    return even.select(F.col("path").alias("file"), line.alias("line")).select(
+        questions.question_id(F.lit("MISSING_ERROR_HANDLING"), F.col("file"), F.col("line"), F.lit(0)).alias("question_id")
     )
 
 
+_NOT_SHOWN = "NOT (n % 2 = 0 AND variant = 0 AND type = 'MISSING_ERROR_HANDLING')"
+
+
 @query("b10_fresh_pool", _with(_FINDING_FACTS, _BASE, _BOTH, _NUMBERED) + f"""
 SELECT concat(id, suffix) AS id, severity FROM o CROSS JOIN v
-WHERE NOT (n % 2 = 0 AND variant = 0) ORDER BY {_ORDER} LIMIT 25""")
+WHERE {_NOT_SHOWN} AND severity <> 'critical' ORDER BY {_ORDER} LIMIT 25""")
 def b10_fresh_pool(spark, sf_dir):
-    bank = questions.render_questions(_findings(spark, sf_dir))
-    return questions.fresh_pool(bank, _shown(spark, sf_dir), 25, questions.pick_order()).select("id", "severity")
+    keys = questions.question_keys(_findings(spark, sf_dir).where("severity <> 'critical'"))
+    return questions.fresh_pool(keys, _shown(spark, sf_dir), 25, questions.pick_order()).select("id", "severity")
 
 
 @query("b11_count_available", _with(_FINDING_FACTS, _BASE) + """
@@ -615,7 +622,7 @@ def b12_prioritize_files(spark, sf_dir):
 
 @query("b13_session_questions", _with(_FINDING_FACTS, _BASE, _BOTH, _NUMBERED) + f"""
 SELECT concat(id, suffix) AS id, severity FROM o CROSS JOIN v
-WHERE k = 12 AND severity IN ('medium', 'high') AND NOT (n % 2 = 0 AND variant = 0)
+WHERE k = 12 AND severity IN ('medium', 'high') AND {_NOT_SHOWN}
 ORDER BY CASE severity WHEN 'high' THEN 1 ELSE 2 END, round({_PRIORITY}, 6) DESC, path, pos, variant LIMIT 10""")
 def b13_session_questions(spark, sf_dir):
     critical, scores = _priorities(spark, sf_dir)

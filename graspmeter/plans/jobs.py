@@ -56,10 +56,10 @@ class Audit:
 def audit(files: DataFrame, seed: int = 0) -> Audit:
     """Functions, findings, code paths and the whole question bank of a corpus."""
     funcs = code_functions.functions(detectors.with_secrets(files))
-    findings = detectors.describe(detectors.detect_all(funcs))
+    findings = detectors.detect_all(funcs)
     return Audit(
         functions=funcs,
-        findings=findings,
+        findings=detectors.describe(findings),
         code_paths=paths.trace_paths(funcs),
         questions=questions.render_questions(questions.first_per_rule(findings), seed=seed),
     )
