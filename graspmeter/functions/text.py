@@ -88,9 +88,9 @@ def regex_hits(text: Column, pattern: str, *groups: int) -> Column:
 
 def first_by_key(items: Column, key: str) -> Column:
     """Keep the first element per key of an array already sorted by that key."""
-    return F.filter(
+    return let(
         items,
-        lambda x, i: (i == 0) | (x[key] != F.get(items, i - 1)[key]),
+        lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x[key] != F.get(xs, i - 1)[key])),
     )
 
 

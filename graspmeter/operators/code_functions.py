@@ -376,10 +376,14 @@ def try_blocks(body: Column, start_line: Column) -> Column:
             ),
             lambda b: b.isNotNull(),
         )
-        # A block is taken only if it starts after the end of the one taken before it.
-        taken = F.aggregate(
+        return let(blocks, taken)
+
+    def taken(blocks: Column) -> Column:
+        """A block is taken only if it starts after the end of the one taken before it."""
+        none = F.filter(blocks, lambda b: F.lit(False))
+        return F.aggregate(
             blocks,
-            F.struct(F.lit(0).alias("free_from"), F.filter(blocks, lambda b: F.lit(False)).alias("taken")),
+            F.struct(F.lit(0).alias("free_from"), none.alias("taken")),
             lambda acc, b: F.when(
                 b["try_start"] >= acc["free_from"],
                 F.struct(
@@ -389,7 +393,6 @@ def try_blocks(body: Column, start_line: Column) -> Column:
             ).otherwise(acc),
             lambda acc: acc["taken"],
         )
-        return taken
 
     return F.transform(
         let(split_lines(body), found),

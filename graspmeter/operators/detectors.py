@@ -585,13 +585,9 @@ def audit(files: DataFrame) -> DataFrame:
 
 def file_secrets(files: DataFrame) -> DataFrame:
     """Literal credentials, once per file and line (whether or not the file has functions)."""
-    def first_per_line(found: Column) -> Column:
-        by_line = F.array_sort(found)
-        return F.filter(by_line, lambda s, i: (i == 0) | (s["line"] != F.get(by_line, i - 1)["line"]))
-
     return (
         files.select(
-            "file_id", "relative_path", F.explode(let(_SECRETS(), first_per_line)).alias("s")
+            "file_id", "relative_path", F.explode(first_by_key(F.array_sort(_SECRETS()), "line")).alias("s")
         )
         .select("file_id", "relative_path", "s.line", "s.secret_type", "s.variable", "s.preview")
     )

@@ -138,59 +138,73 @@ def start_level(override: Column | int | None = None) -> Column:
     )
 
 
-def adaptive_difficulty(
-    answers: DataFrame,
-    key: str,
-    order: list[str],
-    start: Column | None = None,
-    partitions: int | None = None,
+def run_tables(
+    answers: DataFrame, key: str, order: list[str], partitions: int | None = None
 ) -> DataFrame:
-    """Level and streaks per key after all its answers, taken in ``order``.
+    """Per key: number of answers and the tables of its runs, in order.
 
-    ``start`` is the first level, a function of the key only. Rows are range-partitioned by
-    key and order, so a run is never larger than one partition whatever a key holds.
+    Rows are range-partitioned by key and order, so a run is never larger than one partition
+    whatever a key holds; a key has at most as many runs as there are partitions.
     """
-    spark = answers.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = answers.select(key, *order, "is_correct").repartitionByRange(n, key, *order)
     runs = (
         ranged.withColumn("run", F.spark_partition_id())
         .groupBy(key, "run")
-        .agg(
-            F.array_sort(F.collect_list(F.struct(*order, "is_correct"))).alias("steps"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct(*order, "is_correct"))).alias("steps"))
     )
     states = F.sequence(F.lit(0), F.lit(_LEVELS * len(_STREAKS) - 1))
     up, down = _table(True), _table(False)
-    tables = runs.select(
-        key,
-        "run",
-        F.size("steps").cast("bigint").alias("n"),
-        F.aggregate(
-            "steps",
-            states,
-            lambda acc, a: F.transform(
-                acc, lambda s: F.when(a["is_correct"], F.get(up, s)).otherwise(F.get(down, s))
-            ),
-        ).alias("table"),
+    table = F.aggregate(
+        "steps",
+        states,
+        lambda acc, a: F.transform(
+            acc, lambda s: F.when(a["is_correct"], F.get(up, s)).otherwise(F.get(down, s))
+        ),
+    )
+    return (
+        runs.select(key, "run", F.size("steps").cast("bigint").alias("n"), table.alias("table"))
+        .groupBy(key)
+        .agg(
+            F.array_sort(F.collect_list(F.struct("run", "table"))).alias("tables"),
+            F.sum("n").alias("answered"),
+        )
     )
+
+
+def state_of(level: Column) -> Column:
+    """State of a key that has answered nothing since it was given this level."""
+    return ((level - K.MIN_LEVEL) * len(_STREAKS)).cast("int")
+
+
+def apply_tables(tables: Column, state: Column) -> Column:
+    return F.aggregate(tables, state, lambda s, t: F.get(t["table"], s))
+
+
+def level_of(state: Column) -> Column:
+    return (F.floor(state / len(_STREAKS)) + K.MIN_LEVEL).cast("int")
+
+
+def adaptive_difficulty(
+    answers: DataFrame,
+    key: str,
+    order: list[str],
+    start: Column | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Level and streaks per key after all its answers, taken in ``order``.
+
+    ``start`` is the first level, a function of the key only.
+    """
     first = start if start is not None else F.lit(K.START_LEVEL)
-    final = tables.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("run", "table"))).alias("tables"),
-        F.sum("n").alias("answered"),
-    ).withColumn(
-        "state",
-        F.aggregate(
-            "tables",
-            ((first - K.MIN_LEVEL) * len(_STREAKS)).cast("int"),
-            lambda s, t: F.get(t["table"], s),
-        ),
+    final = run_tables(answers, key, order, partitions).withColumn(
+        "state", apply_tables(F.col("tables"), state_of(first))
     )
     streak = F.col("state") % len(_STREAKS)
     return final.select(
         key,
         "answered",
-        (F.floor(F.col("state") / len(_STREAKS)) + K.MIN_LEVEL).cast("int").alias("level"),
+        level_of(F.col("state")).alias("level"),
         F.when(streak < 3, streak).otherwise(0).alias("right_streak"),
         F.when(streak == 3, 1).otherwise(0).alias("wrong_streak"),
     )

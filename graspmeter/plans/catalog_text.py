@@ -185,8 +185,7 @@ def t1_running_scores(spark, sf_dir):
     """CAST(st[1] AS INT) AS level,
        CAST(st[2] AS INT) AS right_streak, CAST(st[3] AS INT) AS wrong_streak""", "CAST(st[1] AS INT) AS level"))
 def t2_adaptive_stream(spark, sf_dir):
-    _, folder = stream.write_table(stream.adaptive_levels(D.stream_answers(spark, sf_dir)), "update")
-    return stream.latest(spark, folder, ["user_id"])
+    return stream.adaptive_levels(D.stream_answers(spark, sf_dir))
 
 
 @query("t3_daily_scores", f"""WITH {_E} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, {_RIGHT} AS correct, count(*) AS answered,

@@ -6,18 +6,16 @@ its batch counterpart on the same answers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from graspmeter import constants as K
 from graspmeter.functions.scores import n_right, percent
-from graspmeter.operators.grading import next_state
+from graspmeter.operators import grading
 from graspmeter.session import work_dir
+from graspmeter.sources import state
 
 
 def running_scores(answers: DataFrame, delay: str) -> DataFrame:
@@ -67,39 +65,6 @@ def gap_sessions(answers: DataFrame, delay: str, gap: str) -> DataFrame:
     )
 
 
-_LEVEL_SCHEMA = "user_id bigint, answered bigint, level int"
-_LEVEL_STATE = "answered bigint, state int"
-
-
-def _levels(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold the new answers of one user, oldest first, into the stored state."""
-    answered, current = state.get if state.exists else (0, (K.START_LEVEL - K.MIN_LEVEL) * 4)
-    new = pd.concat([b[["ts", "answer_id", "is_correct"]] for b in batches])
-    for ok in new.sort_values(["ts", "answer_id"])["is_correct"]:
-        current = next_state(current, bool(ok))
-    answered += len(new)
-    state.update((answered, current))
-    yield pd.DataFrame(
-        {"user_id": [key[0]], "answered": [answered], "level": [current // 4 + K.MIN_LEVEL]}
-    )
-
-
-def adaptive_levels(answers: DataFrame) -> DataFrame:
-    """Adaptive difficulty per user, kept as (level, streak) state between micro-batches.
-
-    Files of the source have to come in time order (write them with ``repartitionByRange``
-    on the time); within a micro-batch the answers are sorted. Bound the batch with
-    ``maxFilesPerTrigger``.
-    """
-    return (
-        answers.select("user_id", "answer_id", "ts", "is_correct")
-        .groupBy("user_id")
-        .applyInPandasWithState(
-            _levels, _LEVEL_SCHEMA, _LEVEL_STATE, "update", GroupStateTimeout.NoTimeout
-        )
-    )
-
-
 def answer_stream(
     spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_trigger: int | None = None
 ) -> DataFrame:
@@ -151,27 +116,69 @@ def dropped_late(query: StreamingQuery) -> int:
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
-def upsert_stream(changes: DataFrame, store: str, key: str, version: str) -> StreamingQuery:
-    """Keep a saved table at the newest row per key while changes stream in.
+def _generations(
+    df: DataFrame, store: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]
+) -> tuple[StreamingQuery, str]:
+    """Carry a table through the micro-batches of a stream: ``table = merge(batch, table)``.
 
-    Every micro-batch writes a new generation of the table next to the old one; the newest
-    complete generation is the table.
+    Two folders take turns, so a batch that is run again after a failure still finds the
+    table it started from. Gives the query and the folder of the last table.
     """
-    from graspmeter.sources import state
-
-    spark = changes.sparkSession
+    spark = df.sparkSession
+    last = {"folder": None}
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        current = f"{store}/gen={batch_id - 1}"
-        if batch_id > 0:
-            batch = state.upsert(spark.read.parquet(current), batch, key, F.col(version))
-        else:
-            batch = state.upsert(batch.where(F.lit(False)), batch, key, F.col(version))
-        batch.write.mode("overwrite").parquet(f"{store}/gen={batch_id}")
+    def step(batch: DataFrame, batch_id: int) -> None:
+        before = spark.read.parquet(f"{store}/gen={(batch_id - 1) % 2}") if batch_id else None
+        last["folder"] = f"{store}/gen={batch_id % 2}"
+        merge(batch, before).write.mode("overwrite").parquet(last["folder"])
 
-    return (
-        changes.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", f"{store}-checkpoint")
+    query = (
+        df.writeStream.foreachBatch(step)
+        .option("checkpointLocation", f"{store}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
+    query.awaitTermination()
+    return query, last["folder"]
+
+
+def adaptive_levels(answers: DataFrame, store: str | None = None) -> DataFrame:
+    """Adaptive difficulty per user, carried from one micro-batch to the next.
+
+    A micro-batch is folded like the batch job does it (hot users in parallel runs) and then
+    applied to the state each user had. Files of the source have to come in time order (write
+    them with ``repartitionByRange`` on the time); within a micro-batch order does not matter.
+    """
+    spark = answers.sparkSession
+    rows = answers.select("user_id", "answer_id", "ts", "is_correct")
+
+    def merge(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        new = grading.run_tables(batch, "user_id", ["ts", "answer_id"])
+        fresh = grading.state_of(grading.start_level())
+        if before is None:
+            state, answered = fresh, F.col("answered")
+        else:
+            new = new.withColumnRenamed("answered", "new_answered").join(before, "user_id", "full")
+            state = F.coalesce("state", fresh)
+            answered = F.coalesce("answered", F.lit(0)) + F.coalesce("new_answered", F.lit(0))
+        after = F.when(F.col("tables").isNull(), state).otherwise(
+            grading.apply_tables(F.col("tables"), state)
+        )
+        return new.select("user_id", answered.alias("answered"), after.alias("state"))
+
+    _, folder = _generations(rows, store or work_dir(spark, "levels"), merge)
+    return spark.read.parquet(folder).select(
+        "user_id", "answered", grading.level_of(F.col("state")).alias("level")
+    )
+
+
+def upsert_stream(changes: DataFrame, key: str, version: str, store: str | None = None) -> DataFrame:
+    """Newest row per key of a stream of changes (saved sessions, for instance)."""
+    spark = changes.sparkSession
+
+    def merge(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        current = batch.where(F.lit(False)) if before is None else before.select(*batch.columns)
+        return state.upsert(current, batch, key, F.col(version))
+
+    _, folder = _generations(changes, store or work_dir(spark, "upsert"), merge)
+    return spark.read.parquet(folder)
