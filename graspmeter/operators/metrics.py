@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graspmeter import constants as K
-from graspmeter.functions.text import half_up, line_count, regex_hits
+from graspmeter.functions.text import half_up, line_count, once, regex_hits
+from graspmeter.operators.classify import with_risk
 
 
 def file_branch_count(content: Column) -> Column:
@@ -64,8 +65,7 @@ def file_metrics(files: DataFrame, risks: DataFrame | None = None) -> DataFrame:
     return out.withColumn("complexity_score", F.coalesce(score, F.col("risk_level")))
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """Function and class names by pattern, with the fixed span each kind is given."""
+def _symbol_list() -> Column:
     content = F.col("content")
 
     def rows(pattern: str, groups: int, kind: str, span: int) -> Column:
@@ -88,22 +88,28 @@ def symbols(files: DataFrame) -> DataFrame:
         rows(K.JS_FUNCTION_SYMBOL, 2, "function", K.SYMBOL_SPAN["function"]),
         rows(K.JS_CLASS_SYMBOL, 1, "class", K.SYMBOL_SPAN["js_class"]),
     )
-    found = F.when(F.col("language") == "python", python).otherwise(other)
-    return files.select("file_id", F.explode(found).alias("s")).select("file_id", "s.*")
+    return F.when(F.col("language") == "python", python).otherwise(other)
 
 
-def totals(files: DataFrame, symbols_: DataFrame, critical: DataFrame, by: list[str]) -> DataFrame:
-    """Files, function symbols and critical files per group of file columns (e.g. repository)."""
-    per_file = symbols_.where(F.col("kind") == "function").groupBy("file_id").agg(
-        F.count("*").alias("n_functions")
-    )
-    rows = (
-        files.drop("content")
-        .join(per_file, "file_id", "left")
-        .join(critical.select("file_id", F.lit(1).alias("is_critical")), "file_id", "left")
+_SYMBOLS = once(_symbol_list)
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """Function and class names by pattern, with the fixed span each kind is given."""
+    return files.select("file_id", F.explode(_SYMBOLS()).alias("s")).select("file_id", "s.*")
+
+
+def totals(files: DataFrame, by: list[str]) -> DataFrame:
+    """Files, function symbols and critical files per group of file columns (e.g. repository).
+
+    Counted on the file row and summed on the map side: one pass over the corpus, no join.
+    """
+    n_functions = F.size(F.filter(_SYMBOLS(), lambda s: s["kind"] == "function"))
+    rows = with_risk(files).select(
+        *by, n_functions.alias("n_functions"), F.col("category").isNotNull().alias("is_critical")
     )
     return rows.groupBy(*by).agg(
         F.count("*").alias("total_files"),
-        F.coalesce(F.sum("n_functions"), F.lit(0)).cast("bigint").alias("total_functions"),
-        F.coalesce(F.sum("is_critical"), F.lit(0)).cast("bigint").alias("total_critical"),
+        F.sum("n_functions").alias("total_functions"),
+        F.count_if("is_critical").alias("total_critical"),
     )

@@ -19,20 +19,13 @@ def answer_facts(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return answers.join(questions.select(*keys, "file", "category"), keys)
 
 
-def _by_either_name(rows: DataFrame, names: list[str], found: DataFrame, value: list[str]) -> DataFrame:
-    """Left join on the first of several names that is known.
+def _names(critical: DataFrame) -> DataFrame:
+    """Risky files once per name they may be called by; the relative one comes first.
 
-    One hash join per name instead of an OR condition, which would be a nested loop.
+    An equi-join on the name replaces an OR of two conditions, which would be a nested loop.
     """
-    out = rows
-    for i, name in enumerate(names):
-        keyed = found.select(
-            F.col("file").alias(f"_key{i}"), *[F.col(v).alias(f"_{v}{i}") for v in value]
-        )
-        out = out.join(keyed, F.col(name) == F.col(f"_key{i}"), "left").drop(f"_key{i}")
-    for v in value:
-        out = out.withColumn(v, F.coalesce(*[F.col(f"_{v}{i}") for i in range(len(names))]))
-    return out.drop(*[f"_{v}{i}" for v in value for i in range(len(names))])
+    both = F.array_distinct(F.array("file", "abs_file"))
+    return critical.select("*", F.posexplode(both).alias("name_no", "name"))
 
 
 def file_scores(facts: DataFrame, critical: DataFrame, updated_at: Column | None = None) -> DataFrame:
@@ -42,11 +35,11 @@ def file_scores(facts: DataFrame, critical: DataFrame, updated_at: Column | None
     counts are aggregated before the join, so it only sees one row per file.
     """
     counts = facts.groupBy("file").agg(n_right().alias("correct"), F.count("*").alias("question_count"))
-    relative = critical.select("file", F.col("risk_level").alias("risk"), F.lit(None).cast("string").alias("rel"))
-    absolute = critical.where(F.col("abs_file") != F.col("file")).select(
-        F.col("abs_file").alias("file"), F.col("risk_level").alias("risk"), F.col("file").alias("rel")
+    names = _names(critical).select(
+        F.col("name").alias("file"),
+        F.col("risk_level").alias("risk"),
+        F.when(F.col("name_no") == 1, F.col("file")).alias("rel"),
     )
-    names = relative.unionByName(absolute)
     out = counts.join(names, "file", "left").select(
         "file",
         F.coalesce("rel", "file").alias("relative_path"),
@@ -79,7 +72,13 @@ def danger_zones(critical: DataFrame, scores: DataFrame) -> DataFrame:
     ``critical(file, abs_file, category, risk_level)``.
     """
     risky = critical.where(F.col("risk_level") >= K.DANGER_RISK)
-    joined = _by_either_name(risky, ["file", "abs_file"], scores, ["score"])
+    known = scores.select(F.col("file").alias("name"), "score")
+    joined = (
+        _names(risky)
+        .join(known, "name", "left")
+        .groupBy("file", "abs_file", "category", "risk_level")
+        .agg(F.min_by("score", F.when(F.col("score").isNotNull(), F.col("name_no"))).alias("score"))
+    )
     return (
         joined.withColumn("understanding_score", F.coalesce("score", F.lit(0)))
         .where(F.col("understanding_score") <= K.DANGER_SCORE)

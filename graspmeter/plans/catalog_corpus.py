@@ -372,8 +372,7 @@ def c4_risk_level(spark, sf_dir):
 @query("c5_file_risk", _classes_sql(D.DOCUMENTS_SQL) + "SELECT f.file_id, coalesce(risk_level, 1) AS risk_level, "
        "coalesce(array_to_string(words, ','), '') AS words FROM f LEFT JOIN r USING (file_id)")
 def c5_file_risk(spark, sf_dir):
-    files = D.documents(spark, sf_dir)
-    return classify.file_risk(files.drop("content"), classify.critical_paths(files)).select(
+    return classify.with_risk(D.documents(spark, sf_dir)).select(
         "file_id", "risk_level", F.array_join("critical_patterns", ",").alias("words")
     )
 
@@ -430,8 +429,7 @@ def c9_symbol_extract(spark, sf_dir):
 SELECT repo, count(*) AS total_files, count(*) AS total_functions, count(r.file_id) AS total_critical
 FROM cf LEFT JOIN r USING (file_id) GROUP BY repo""")
 def c10_workspace_totals(spark, sf_dir):
-    files = D.code_files(spark, sf_dir)
-    return metrics.totals(files, metrics.symbols(files), classify.critical_paths(files), ["repo"])
+    return metrics.totals(D.code_files(spark, sf_dir), ["repo"])
 
 
 @query("c11_import_edges", MODULES + """

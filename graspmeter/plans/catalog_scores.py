@@ -8,6 +8,7 @@ from graspmeter import constants as K
 from graspmeter.operators import grading, report, scoring
 from graspmeter.plans import driver_tables as D
 from graspmeter.plans import jobs
+from graspmeter.session import materialize
 
 QUERIES = {}
 ORACLES = {}
@@ -235,9 +236,9 @@ SELECT CAST(row_number() OVER (ORDER BY branch, rank) AS INT) AS priority, file,
 FROM u ORDER BY branch, rank LIMIT 10""")
 def r8_learning_path(spark, sf_dir):
     order = [F.unix_micros(F.col("start_ts").cast("timestamp")) * -1, -F.col("session_id"), *[F.col(c) for c in D.ANSWER_ORDER]]
-    return report.learning_path(
-        _wrong_answers(spark, sf_dir), _zones(spark, sf_dir), _file_scores(spark, sf_dir), order
-    )
+    scores = materialize(_file_scores(spark, sf_dir), "file_scores")
+    zones = scoring.danger_zones(D.critical_paths(spark, sf_dir), scores)
+    return report.learning_path(_wrong_answers(spark, sf_dir), zones, scores, order)
 
 
 @query("r8_learning_path_no_answers", f"""WITH {ZONES},
@@ -245,9 +246,10 @@ u AS (SELECT CAST(row_number() OVER (ORDER BY danger_score DESC, relative_path)
 SELECT priority, relative_path AS file, category AS concept FROM u WHERE priority <= 10""")
 def r8_learning_path_no_answers(spark, sf_dir):
     none = _wrong_answers(spark, sf_dir).where("is_correct")
-    return report.learning_path(
-        none, _zones(spark, sf_dir), _file_scores(spark, sf_dir), [F.col("session_id")]
-    ).select("priority", "file", "concept")
+    scores = materialize(_file_scores(spark, sf_dir), "file_scores")
+    zones = scoring.danger_zones(D.critical_paths(spark, sf_dir), scores)
+    path = report.learning_path(none, zones, scores, [F.col("session_id")])
+    return path.select("priority", "file", "concept")
 
 
 def _band(score: str, bands) -> str:

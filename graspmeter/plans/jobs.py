@@ -18,6 +18,7 @@ from graspmeter.operators import (
     report,
     scoring,
 )
+from graspmeter.session import materialize
 
 
 @dataclass
@@ -34,14 +35,12 @@ class Scan:
 def scan(files: DataFrame, by: list[str]) -> Scan:
     """Risk, complexity, symbols, imports and totals of ``files`` (per ``by``, e.g. repository)."""
     analyzed = metrics.file_metrics(classify.with_risk(files))
-    critical = classify.critical_paths(files)
-    symbols = metrics.symbols(files)
     return Scan(
         files=analyzed,
-        critical=critical,
-        symbols=symbols,
+        critical=classify.critical_paths(files),
+        symbols=metrics.symbols(files),
         edges=imports.import_edges(files),
-        totals=metrics.totals(files, symbols, critical, by),
+        totals=metrics.totals(files, by),
     )
 
 
@@ -88,7 +87,8 @@ def score_report(
     updated_at: Column | None = None,
 ) -> Report:
     facts = scoring.answer_facts(answers, question_table)
-    scores = scoring.file_scores(facts, critical, updated_at)
+    # One row per file, read by three of the tables below.
+    scores = materialize(scoring.file_scores(facts, critical, updated_at), "file_scores")
     timeline = report.progress_timeline(sessions, session_scores)
     return Report(
         overall=scoring.overall_score(scores),
