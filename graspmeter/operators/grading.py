@@ -43,49 +43,76 @@ def misconception(chosen: Column) -> Column:
     return F.coalesce(*picks, default)
 
 
-def grade(answers: DataFrame, questions: DataFrame, detailed: bool = False) -> DataFrame:
-    """Compare the chosen label with the right one and explain.
+def answer_key(questions: DataFrame) -> DataFrame:
+    """Questions with the texts of their options by label, the right label and its text.
 
-    ``questions(question_id, options, explanation, difficulty, file, start_line)``. A label
-    that is no option, or a question without a right one, counts as wrong. ``detailed`` takes
-    the depth from the difficulty, quotes the chosen text and names the misconception.
+    Worked out once per question, so that an answer only needs a lookup. Of two options with
+    the same label the first counts.
     """
-    joined = answers.join(
-        questions.select("question_id", "options", "explanation", "difficulty", "file", "start_line"),
-        "question_id",
-    )
+    labels = F.transform("options", lambda o: o["label"])
+    first = F.filter("options", lambda o, i: F.array_position(labels, o["label"]) == i + 1)
     right = F.get(F.filter("options", lambda o: o["is_correct"]), F.lit(0))
-    chosen = F.get(F.filter("options", lambda o: o["label"] == F.col("selected_label")), F.lit(0))
-    rows = joined.withColumns({"right": right, "chosen": chosen})
-    usable = F.col("right").isNotNull() & F.col("chosen").isNotNull()
-    ok = usable & (F.col("right.label") == F.col("chosen.label"))
+    return questions.withColumns(
+        {
+            "texts": F.map_from_entries(F.transform(first, lambda o: F.struct(o["label"], o["text"]))),
+            "right_label": right["label"],
+            "right_text": right["text"],
+        }
+    ).drop("options")
+
+
+def chosen_text() -> Column:
+    return F.try_element_at("texts", F.col("selected_label"))
+
+
+def graded_columns(detailed: bool = False) -> dict[str, Column]:
+    """Columns of a graded answer, for rows of answers joined with ``answer_key``.
+
+    A label that is no option, or a question without a right one, counts as wrong.
+    """
+    chosen, right = F.try_element_at("texts", F.col("selected_label")), F.col("right_text")
+    usable = F.col("right_label").isNotNull() & chosen.isNotNull()
+    ok = usable & (F.col("right_label") == F.col("selected_label"))
     praise = F.concat(F.lit("Correct! "), F.col("explanation"))
     if detailed:
         depth = (
             F.when(F.col("difficulty") >= 4, "deep").when(F.col("difficulty") >= 2, "moderate").otherwise("surface")
         )
         blame = F.concat(
-            F.lit('Incorrect. You selected: "'), F.col("chosen.text"),
-            F.lit('"\n\nThe correct answer is: "'), F.col("right.text"),
+            F.lit('Incorrect. You selected: "'), chosen,
+            F.lit('"\n\nThe correct answer is: "'), right,
             F.lit('"\n\n'), F.col("explanation"),
         )
         unusable = "Unable to evaluate answer: question options are malformed."
-        gap = misconception(F.col("chosen.text"))
+        gap = misconception(chosen)
     else:
         depth = F.lit("moderate")
         blame = F.concat(
-            F.lit('Incorrect. The correct answer was: "'), F.col("right.text"), F.lit('"\n\n'), F.col("explanation")
+            F.lit('Incorrect. The correct answer was: "'), right, F.lit('"\n\n'), F.col("explanation")
         )
         unusable = "Could not evaluate answer."
         gap = F.concat(F.lit("Review the code at "), _place())
-    kept = [c for c in answers.columns if c != "is_correct"]
-    return rows.select(
-        *kept,
-        ok.alias("is_correct"),
-        F.when(ok, depth).otherwise("surface").alias("understanding_depth"),
-        F.when(~usable, unusable).when(ok, praise).otherwise(blame).alias("feedback"),
-        F.when(usable & ~ok, gap).alias("concept_gap"),
+    return {
+        "is_correct": F.coalesce(ok, F.lit(False)),
+        "understanding_depth": F.when(ok, depth).otherwise("surface"),
+        "feedback": F.when(~usable, unusable).when(ok, praise).otherwise(blame),
+        "concept_gap": F.when(usable & ~ok, gap),
+    }
+
+
+def grade(answers: DataFrame, questions: DataFrame, detailed: bool = False) -> DataFrame:
+    """Compare the chosen label with the right one and explain.
+
+    ``questions(question_id, options, explanation, difficulty, file, start_line)``.
+    ``detailed`` takes the depth from the difficulty, quotes the chosen text and names the
+    misconception.
+    """
+    key = answer_key(
+        questions.select("question_id", "options", "explanation", "difficulty", "file", "start_line")
     )
+    kept = [c for c in answers.columns if c != "is_correct"]
+    columns = graded_columns(detailed)
+    return answers.join(key, "question_id").select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
 def session_scores(answers: DataFrame) -> DataFrame:

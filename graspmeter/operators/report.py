@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graspmeter import constants as K
 from graspmeter.functions.scores import band, n_right, percent
+from graspmeter.operators.grading import answer_key, graded_columns
 
 
 def progress_timeline(sessions: DataFrame, scores: DataFrame) -> DataFrame:
@@ -44,33 +45,32 @@ def trend(timeline: DataFrame) -> DataFrame:
     )
 
 
-def learning_path(wrong: DataFrame, zones: DataFrame, scores: DataFrame, order: list[Column]) -> DataFrame:
+def learning_path(
+    wrong: DataFrame, questions: DataFrame, zones: DataFrame, scores: DataFrame, order: list[Column]
+) -> DataFrame:
     """Up to ten things to study: latest wrong answers, then danger zones, else the lowest files.
 
-    ``wrong(file, start_line, end_line, category, question, feedback)`` and ``order``, which
-    puts the newest answer first. Every branch is cut to its first rows before the
-    branches meet.
+    ``wrong(question_id, selected_label, file, start_line)`` and ``order``, which puts the
+    newest answer first. Only ids go through the shuffle; texts are added to the rows that
+    are kept. Every branch is cut to its first rows before the branches meet.
     """
     item = ["branch", "rank", "file", "start_line", "end_line", "concept", "why_it_matters", "key"]
-    order_key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     place = F.concat_ws(":", "file", F.col("start_line").cast("string"))
-    concept = F.concat(
-        F.replace("category", F.lit("-"), F.lit(" ")), F.lit(" — "), F.substring("question", 1, 60), F.lit("…")
-    )
+    newest = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     first_wrong = (
-        wrong.withColumns({"key": place, "o": order_key, "concept": concept})
+        wrong.select(place.alias("key"), newest.alias("o"), "question_id", "selected_label")
         .groupBy("key")
-        .agg(
-            F.min_by(
-                F.struct("file", "start_line", "end_line", "concept", F.col("feedback").alias("why_it_matters")), "o"
-            ).alias("x"),
-            F.min("o").alias("o"),
-        )
+        .agg(F.min_by(F.struct("question_id", "selected_label"), "o").alias("x"), F.min("o").alias("o"))
         .orderBy("o")
         .limit(K.LEARNING_ITEMS)
     )
-    from_answers = first_wrong.select(
-        F.lit(0).alias("branch"), F.row_number().over(Window.orderBy("o")).alias("rank"), "x.*", "key"
+    ranked = first_wrong.select("key", "x.*", F.row_number().over(Window.orderBy("o")).alias("rank"))
+    concept = F.concat(
+        F.replace("category", F.lit("-"), F.lit(" ")), F.lit(" — "), F.substring("question", 1, 60), F.lit("…")
+    )
+    from_answers = answer_key(questions).join(ranked, "question_id").select(
+        F.lit(0).alias("branch"), "rank", "file", "start_line", "end_line", concept.alias("concept"),
+        graded_columns()["feedback"].alias("why_it_matters"), "key",
     )
     top_zones = zones.orderBy(F.desc("danger_score"), "relative_path").limit(2 * K.LEARNING_ITEMS)
     from_zones = top_zones.select(
@@ -153,30 +153,36 @@ def session_numbers(sessions: DataFrame) -> DataFrame:
 
 
 def history(
-    sessions: DataFrame, session_questions: DataFrame, graded: DataFrame, questions: DataFrame
+    sessions: DataFrame, session_questions: DataFrame, answers: DataFrame, questions: DataFrame
 ) -> DataFrame:
     """One row per question of every session, answered or not.
 
     Flat rows instead of one nested row per session, so a long session stays spread out.
-    ``graded(session_id, question_id, nth, selected_label, is_correct, feedback)``: the first
-    answer to a question counts.
+    ``answers(session_id, question_id, nth, selected_label)``: the first answer to a question
+    counts. Texts are added after the answers have been aggregated.
     """
-    totals = graded.groupBy("session_id").agg(n_right().alias("n_right"), F.count("*").alias("n_answered"))
-    first = graded.groupBy("session_id", "question_id").agg(
-        F.min_by(F.struct("selected_label", "is_correct", "feedback"), "nth").alias("a")
+    key = answer_key(questions.select("question_id", "question", "options", "explanation", "file", "start_line"))
+    right = key.select("question_id", F.col("right_label").alias("_right"))
+    marked = answers.join(right, "question_id").withColumn(
+        "is_correct", F.coalesce(F.col("selected_label") == F.col("_right"), F.lit(False))
     )
-    options = questions.select("question_id", "question", "options")
-
-    def text(option: Column) -> Column:
-        return F.get(option, F.lit(0))["text"]
-
-    chosen = text(F.filter("options", lambda o: o["label"] == F.col("a.selected_label")))
-    right = text(F.filter("options", lambda o: o["is_correct"]))
+    # Totals come from the rows per question, so the answers are shuffled once.
+    first = marked.groupBy("session_id", "question_id").agg(
+        F.min_by("selected_label", "nth").alias("selected_label"),
+        n_right().alias("n_right"),
+        F.count("*").alias("n_answered"),
+    )
+    totals = first.groupBy("session_id").agg(
+        F.sum("n_right").alias("n_right"), F.sum("n_answered").alias("n_answered")
+    )
+    answered = first.select("session_id", "question_id", "selected_label", F.lit(True).alias("answered"))
+    graded = graded_columns()
+    ok = F.col("answered").isNotNull() & graded["is_correct"]
     return (
-        session_questions.join(first, ["session_id", "question_id"], "left")
-        .join(options, "question_id")
+        session_questions.join(answered, ["session_id", "question_id"], "left")
         .join(session_numbers(sessions), "session_id")
         .join(totals, "session_id", "left")
+        .join(key, "question_id")
         .select(
             "user_id",
             "session_no",
@@ -185,10 +191,10 @@ def history(
             F.coalesce("n_answered", F.lit(0)).alias("n_answered"),
             "question_nth",
             "question",
-            F.coalesce("a.is_correct", F.lit(False)).alias("is_correct"),
-            F.coalesce(F.when(F.col("a").isNotNull(), chosen), F.lit("—")).alias("chosen_text"),
-            F.when(~F.coalesce("a.is_correct", F.lit(False)), F.coalesce(right, F.lit("—"))).alias("correct_text"),
-            F.col("a.feedback").alias("feedback"),
+            ok.alias("is_correct"),
+            F.coalesce(F.try_element_at("texts", F.col("selected_label")), F.lit("—")).alias("chosen_text"),
+            F.when(~ok, F.coalesce("right_text", F.lit("—"))).alias("correct_text"),
+            F.when(F.col("answered"), graded["feedback"]).alias("feedback"),
         )
     )
 

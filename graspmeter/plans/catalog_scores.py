@@ -215,11 +215,12 @@ def r7_trend(spark, sf_dir):
 
 
 def _wrong_answers(spark, sf_dir):
-    graded = _graded(spark, sf_dir).where(~F.col("is_correct"))
-    places = D.questions(spark, sf_dir).select("question_id", "file", "start_line", "end_line", "category", "question")
-    return graded.join(places, "question_id").join(
-        D.sessions(spark, sf_dir).select("session_id", "start_ts"), "session_id"
+    """Wrong answers with their place and the start of their session."""
+    key = grading.answer_key(D.questions_with_options(spark, sf_dir)).select(
+        "question_id", "right_label", "file", "start_line"
     )
+    wrong = D.answers(spark, sf_dir).join(key, "question_id").where(F.col("selected_label") != F.col("right_label"))
+    return wrong.join(D.sessions(spark, sf_dir).select("session_id", "start_ts"), "session_id")
 
 
 @query("r8_learning_path", f"""WITH {ZONES}, {S},
@@ -238,17 +239,21 @@ def r8_learning_path(spark, sf_dir):
     order = [F.unix_micros(F.col("start_ts").cast("timestamp")) * -1, -F.col("session_id"), *[F.col(c) for c in D.ANSWER_ORDER]]
     scores = materialize(_file_scores(spark, sf_dir), "file_scores")
     zones = scoring.danger_zones(D.critical_paths(spark, sf_dir), scores)
-    return report.learning_path(_wrong_answers(spark, sf_dir), zones, scores, order)
+    return report.learning_path(
+        _wrong_answers(spark, sf_dir), D.questions_with_options(spark, sf_dir), zones, scores, order
+    )
 
 
 @query("r8_learning_path_no_answers", f"""WITH {ZONES},
 u AS (SELECT CAST(row_number() OVER (ORDER BY danger_score DESC, relative_path) AS INT) AS priority, * FROM z)
 SELECT priority, relative_path AS file, category AS concept FROM u WHERE priority <= 10""")
 def r8_learning_path_no_answers(spark, sf_dir):
-    none = _wrong_answers(spark, sf_dir).where("is_correct")
+    none = _wrong_answers(spark, sf_dir).where("selected_label is null")
     scores = materialize(_file_scores(spark, sf_dir), "file_scores")
     zones = scoring.danger_zones(D.critical_paths(spark, sf_dir), scores)
-    path = report.learning_path(none, zones, scores, [F.col("session_id")])
+    path = report.learning_path(
+        none, D.questions_with_options(spark, sf_dir), zones, scores, [F.col("session_id")]
+    )
     return path.select("priority", "file", "concept")
 
 
@@ -273,7 +278,9 @@ num AS (SELECT session_id, user_id, row_number() OVER (PARTITION BY user_id ORDE
 SELECT num.user_id, session_no, li.l_orderkey AS session_id, coalesce(n_right, 0) AS n_right, coalesce(n_answered, 0) AS n_answered,
   concat_ws('-', l_linenumber, l_suppkey) AS question_nth, q.question, coalesce(first.ok, false) AS is_correct,
   CASE WHEN first.ok IS NULL OR selected_label = 'E' THEN '—' ELSE {_CHOSEN.replace('question_id', 'first.question_id').replace(', question)', ', q.question)')} END AS chosen_text,
-  CASE WHEN NOT coalesce(first.ok, false) THEN {_text('q.right_no').replace('question_id', 'q.question_id').replace(', question)', ', q.question)')} END AS correct_text
+  CASE WHEN NOT coalesce(first.ok, false) THEN {_text('q.right_no').replace('question_id', 'q.question_id').replace(', question)', ', q.question)')} END AS correct_text,
+  CASE WHEN first.ok IS NULL THEN NULL WHEN selected_label = 'E' THEN 'Could not evaluate answer.' WHEN first.ok THEN concat('Correct! ', q.explanation)
+       ELSE concat('Incorrect. The correct answer was: "', {_text('q.right_no').replace('question_id', 'q.question_id').replace(', question)', ', q.question)')}, '"', chr(10), chr(10), q.explanation) END AS feedback
 FROM lineitem li JOIN q ON q.question_id = li.l_partkey JOIN num ON num.session_id = li.l_orderkey
 LEFT JOIN first ON first.session_id = li.l_orderkey AND first.question_id = li.l_partkey
 LEFT JOIN tot ON tot.session_id = li.l_orderkey""")
@@ -282,10 +289,8 @@ def r11_history(spark, sf_dir):
         F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("question_id"),
         F.concat_ws("-", "l_linenumber", "l_suppkey").alias("question_nth"),
     )
-    graded = _graded(spark, sf_dir).withColumn("nth", F.struct("pos", "tie_1", "tie_2"))
-    return report.history(
-        D.sessions(spark, sf_dir), asked, graded, D.questions_with_options(spark, sf_dir)
-    ).drop("feedback")
+    answers = D.answers(spark, sf_dir).withColumn("nth", F.struct("pos", "tie_1", "tie_2"))
+    return report.history(D.sessions(spark, sf_dir), asked, answers, D.questions_with_options(spark, sf_dir))
 
 
 @query("r12_team_compare", f"""

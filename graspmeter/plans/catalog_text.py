@@ -85,16 +85,14 @@ _ANSWER_ID = "concat_ws('-', session_id, pos, question_id, tie_1, tie_2)"
            "gap": "CASE WHEN ok THEN 'null' ELSE '\"The specific concept they misunderstood\"' END",
        }) + " AS prompt FROM j")
 def l4_eval_and_path_prompts(spark, sf_dir):
-    rows = grading.grade(D.answers(spark, sf_dir), D.questions_with_options(spark, sf_dir)).join(
-        D.questions_with_options(spark, sf_dir).select("question_id", "question", "options"), "question_id"
-    )
-    right = F.get(F.filter("options", lambda o: o["is_correct"]), F.lit(0))["text"]
-    chosen = F.get(F.filter("options", lambda o: o["label"] == F.col("selected_label")), F.lit(0))["text"]
+    key = grading.answer_key(D.questions_with_options(spark, sf_dir))
+    rows = D.answers(spark, sf_dir).join(key.select("question_id", "question", "texts", "right_label", "right_text"), "question_id")
     return chunks.answer_prompts(
         rows.select(
             F.concat_ws("-", "session_id", "pos", "question_id", "tie_1").alias("answer_id"),
-            "question", "is_correct", F.lit("").alias("code"), F.lit("typescript").alias("language"),
-            chosen.alias("user_answer"), right.alias("correct_answer"),
+            "question", (F.col("selected_label") == F.col("right_label")).alias("is_correct"), F.lit("").alias("code"),
+            F.lit("typescript").alias("language"), grading.chosen_text().alias("user_answer"),
+            F.col("right_text").alias("correct_answer"),
         )
     )
 

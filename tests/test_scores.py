@@ -88,8 +88,15 @@ def test_session_numbers(spark):
 
 def test_learning_path_branches(spark):
     wrong = spark.createDataFrame(
-        [("a.ts", i % 3, 9, "data-flow", "why?" * 30, f"f{i}", i) for i in range(9)],
-        "file string, start_line int, end_line int, category string, question string, feedback string, age int",
+        [(i, "B", "a.ts", i % 3, i) for i in range(9)],
+        "question_id int, selected_label string, file string, start_line int, age int",
+    )
+    asked = spark.createDataFrame(
+        [(i, "a.ts", i % 3, 9, "data-flow", "why?" * 30, f"x{i}") for i in range(9)],
+        "question_id int, file string, start_line int, end_line int, category string, question string, explanation string",
+    ).withColumn(
+        "options",
+        F.expr("array(named_struct('label', 'A', 'text', 'good', 'is_correct', true), named_struct('label', 'B', 'text', 'bad', 'is_correct', false))"),
     )
     zones = spark.createDataFrame(
         [(f"/w/{i}", f"{i}", "auth", 9, 0, 9.0 - i, 0, 0) for i in range(9)],
@@ -97,12 +104,14 @@ def test_learning_path_branches(spark):
     )
     scores = spark.createDataFrame([("q", "q", 90), ("p", "p", 10)], "file string, relative_path string, score int")
     order = [F.col("age")]
-    full = report.learning_path(wrong, zones, scores, order).orderBy("priority").collect()
+    full = report.learning_path(wrong, asked, zones, scores, order).orderBy("priority").collect()
     assert len(full) == 10
-    assert [(r.file, r.why_it_matters) for r in full[:3]] == [("a.ts", "f0"), ("a.ts", "f1"), ("a.ts", "f2")]
+    assert [(r.file, r.why_it_matters) for r in full[:3]] == [
+        ("a.ts", f'Incorrect. The correct answer was: "good"\n\nx{i}') for i in range(3)
+    ]
     assert full[0].concept == "data flow — " + ("why?" * 30)[:60] + "…"
     assert full[3].why_it_matters == "Risk level 9/5 — understanding score 0%"
-    nothing = report.learning_path(wrong.limit(0), zones.limit(0), scores, order).orderBy("priority").collect()
+    nothing = report.learning_path(wrong.limit(0), asked, zones.limit(0), scores, order).orderBy("priority").collect()
     assert [(r.file, r.concept) for r in nothing] == [("p", "Review: p (10% understood)"), ("q", "Review: q (90% understood)")]
 
 
