@@ -164,10 +164,10 @@ WHERE CAST(substr(p_brand, 7) AS INT) % 8 <> 0"""
 ANSWER_ORDER = ["pos", "question_id", "tie_1", "tie_2"]
 
 
-def _sql(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+def _sql(spark: SparkSession, sf_dir: str, sql: str, *names: str, **given: DataFrame) -> DataFrame:
     for name in names:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(sql, **{n: given[n] if n in given else table(spark, sf_dir, n) for n in names})
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +188,8 @@ def questions_with_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, ANSWERS_SQL, "lineitem", "part")
+    lineitem = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    return _sql(spark, sf_dir, ANSWERS_SQL, "lineitem", "part", lineitem=lineitem)
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
