@@ -93,7 +93,7 @@ RETURN_BARE = r"(?<!\w)return\s*;"
 PROMISE_RETURN = r"(?<!\w)new\s+Promise(?!\w)|Promise\.|(?<!\w)await(?!\w)"
 THROW = r"(?<!\w)throw\s+((?:new\s+)?(?:\w+Error|Error)[^;]*?)(?:;|\n|\z)"
 AWAIT = r"(?<!\w)await\s+([\w.]+\([^)]*\))"
-DOTTED_CALL = r"(?<!\w)((?:this\.)?[\w]+(?:\.[\w]+)+)\s*\("
+DOTTED_CALL = r"(?<!\w)((?:this\.)?\w++(?:\.\w++)++)\s*+\("
 EXTERNAL_NAMES = [
     "db", "database", "pool", "knex", "prisma", "mongoose", "stripe", "paypal", "braintree",
     "axios", "fetch", "http", "https", "request", "redis", "cache", "memcached", "aws", "s3",

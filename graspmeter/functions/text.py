@@ -134,21 +134,25 @@ def widening(
     start: Column,
     glue: str,
     sizes: tuple[int, ...],
-    attempt: Callable[[Column], Column],
+    attempt: Callable[[Column, bool], Column],
     otherwise: Column,
 ) -> Column:
     """Try ``attempt`` on a short run of ``pieces`` from ``start`` (1-based), then on longer ones.
 
-    ``attempt(text)`` gives null while undecided; ``otherwise`` is the answer if even the
+    ``attempt(text, last)`` gives null while undecided; ``otherwise`` is the answer if even the
     whole rest leaves it undecided. The last try sees all remaining pieces, so the answer is
     exact; the short tries keep the usual case cheap when a text has very many candidates.
     """
+
+    def tried(text: Column, last: bool) -> Column:
+        return let(text, lambda t: attempt(t, last))
+
     tries = []
     for size in sizes:
         text = F.array_join(F.slice(pieces, start, F.lit(size)), glue)
-        tries.append(F.when(F.size(pieces) - start >= size, let(text, attempt)))
+        tries.append(F.when(F.size(pieces) - start >= size, tried(text, False)))
     rest = F.array_join(F.slice(pieces, start, F.greatest(F.size(pieces), F.lit(1))), glue)
-    return F.coalesce(*tries, let(rest, attempt), otherwise)
+    return F.coalesce(*tries, tried(rest, True), otherwise)
 
 
 def once(build: Callable[[], Column]) -> Callable[[], Column]:

@@ -69,7 +69,7 @@ def _js_span(segments: Column, i: Column) -> Column:
     """Source of the function that starts with segment ``i`` and where its body begins."""
     none = F.struct(F.lit(-1).alias("before"), F.lit("").alias("source"))
 
-    def attempt(text: Column) -> Column:
+    def attempt(text: Column, last: bool) -> Column:
         def with_size(before: Column, size: Column) -> Column:
             hit = F.struct(before.alias("before"), F.substring(text, 1, before + size).alias("source"))
             return F.when(size > 0, hit).when(before == -1, none)
@@ -303,8 +303,12 @@ def parameters(param_text: Column) -> Column:
 def try_blocks(body: Column, start_line: Column) -> Column:
     """``try {..} catch (x) {..}`` blocks; those that start inside an earlier one are left out."""
 
-    def block(text: Column, total: Column, i: Column) -> Column:
-        """Block that starts in the first line of ``text``; null while undecided."""
+    def block(text: Column, last: bool, lines: Column, i: Column) -> Column:
+        """Block that starts in the first line of ``text``; null while undecided.
+
+        A catch part that is still open at the end of the body has no text and ends there.
+        """
+        ending = F.size(lines) - 1 - F.when(F.get(lines, F.size(lines) - 1) == "", 1).otherwise(0)
         brace = F.call_function(
             "locate", F.lit("{"), text, F.instr(text, "try")
         )
@@ -339,7 +343,7 @@ def try_blocks(body: Column, start_line: Column) -> Column:
                 opening > 0,
                 let(
                     braced_length(F.substring(s["tail"], opening, F.length(s["tail"]))),
-                    lambda n: F.when(n > 0, finished(s, opening, n)),
+                    lambda n: finished(s, opening, n) if last else F.when(n > 0, finished(s, opening, n)),
                 ),
             )
 
@@ -347,16 +351,17 @@ def try_blocks(body: Column, start_line: Column) -> Column:
             lead = newlines(F.substring(text, F.lit(1), brace - 1))
             try_end = i + lead + newlines(s["tried"])
             catch_start = try_end + newlines(s["gap"])
-            catch_end = catch_start + newlines(s["head"]) + newlines(
-                F.substring(s["tail"], F.lit(1), opening + n - 1)
-            )
+            catch_end = F.when(
+                n > 0,
+                catch_start + newlines(s["head"]) + newlines(F.substring(s["tail"], F.lit(1), opening + n - 1)),
+            ).otherwise(ending)
             return F.struct(
                 i.alias("try_start"),
                 try_end.alias("try_end"),
                 catch_start.alias("catch_start"),
                 catch_end.alias("catch_end"),
                 F.regexp_extract(s["head"], K.CATCH, 1).alias("catch_param"),
-                F.substring(s["tail"], opening + 1, n - 2).alias("catch_body"),
+                F.substring(s["tail"], opening + 1, F.greatest(n - 2, F.lit(0))).alias("catch_body"),
             )
 
         return let(F.substring(text, brace, F.length(text)), after_try)
@@ -371,7 +376,7 @@ def try_blocks(body: Column, start_line: Column) -> Column:
             F.transform(
                 starts,
                 lambda i: widening(
-                    lines, i + 1, "\n", _LINE_STEPS, lambda t: block(t, F.size(lines), i), none
+                    lines, i + 1, "\n", _LINE_STEPS, lambda t, last: block(t, last, lines, i), none
                 ),
             ),
             lambda b: b.isNotNull(),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from graspmeter.operators import code_functions as fn
 
 NESTED = """function outer(a) {
@@ -178,3 +181,68 @@ def test_result_does_not_depend_on_partitioning(files):
     base = rows(fn.functions(df), "func_id", "end_line", "branch_count")
     for n in (1, 4, 64):
         assert rows(fn.functions(df.repartition(n)), "func_id", "end_line", "branch_count") == base
+
+
+def test_catch_part_that_is_never_closed_has_no_text(files):
+    # Seen from the function's start the first quote is closed by the second one, so the
+    # brace after it ends the function; seen from the catch part the second one opens.
+    src = "function a() {\n  // it's\n  try { f(); } catch (e) { g('x); }\n}\n"
+    table = fn.functions(files(s=src))
+    assert rows(table, "name", "end_line") == [("a", 2)]
+    assert rows(fn.facts(table, "try_blocks"), "catch_start", "catch_end", "catch_body") == [(2, 2, "")]
+
+
+def test_very_long_call_chain_and_string(files):
+    chain = "db" + ".a" * 30000
+    src = f"function a() {{\n  {chain}(1);\n  const s = \"{'x{' * 200000}\";\n  return s;\n}}\n"
+    table = fn.functions(files(s=src))
+    assert rows(table, "end_line") == [(4,)]
+    assert rows(fn.facts(table, "calls"), "line") == [(1,)]
+
+
+def plain_spans(text):
+    """Functions ``function f<n>(..)`` of a text by scanning characters from each one's start."""
+    found = []
+    for m in re.finditer(r"function (\w+)\(([^)]*)\)", text):
+        quote, depth, done = "", 0, None
+        opened = False
+        for i in range(m.start(), len(text)):
+            ch, before = text[i], text[i - 1] if i else ""
+            if quote:
+                if ch == quote and before != "\\":
+                    quote = ""
+            elif ch in "\"'`":
+                quote = ch
+            elif ch == ";" and not opened:
+                break
+            elif ch == "{":
+                opened, depth = True, depth + 1
+            elif ch == "}" and opened:
+                depth -= 1
+                if depth == 0:
+                    done = i
+                    break
+        line = text.count("\n", 0, m.start())
+        if done is not None and all(line != f[0] for f in found):
+            found.append((line, text.count("\n", 0, done), m.group(1)))
+    return sorted(found)
+
+
+def test_extents_equal_a_plain_scan_on_random_texts(spark):
+    rng = random.Random(11)
+    parts = ["function f{n}(a)", "function g{n}('x{{')", "{", "}", "{", "}", "\n", "\n", ";", "'", '"', "`", "\\", " x ", "// it", "=> "]
+    texts = []
+    for _ in range(400):
+        pieces = [rng.choice(parts).replace("{n}", str(i)).replace("{{", "{") for i in range(rng.randint(0, 60))]
+        texts.append("".join(pieces))
+    df = spark.createDataFrame(
+        [(str(i), "x.ts", "x.ts", "typescript", "r", t) for i, t in enumerate(texts)],
+        "file_id string, path string, relative_path string, language string, repo string, content string",
+    )
+    got: dict[str, list] = {}
+    for r in fn.function_spans(df).where("name rlike '^[fg][0-9]+$'").collect():
+        got.setdefault(r.file_id, []).append((r.start_line, r.end_line, r.name))
+    for i, t in enumerate(texts):
+        # Only declarations are generated, but one can also match as a method.
+        names = {name for _, _, name in plain_spans(t)}
+        assert [x for x in sorted(got.get(str(i), [])) if x[2] in names] == plain_spans(t), t
