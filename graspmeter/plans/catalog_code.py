@@ -411,7 +411,7 @@ def p6_trace_paths(spark, sf_dir):
 
 _FILE = "regexp_replace(path, '[^a-zA-Z0-9]', '_', 'g')"
 _BASE = (
-    f"b AS (SELECT file_id, path, n, k, type, CAST(line AS INT) AS line, CAST(end_line AS INT) AS end_line, {_SEVERITY} AS severity, "
+    f"b AS (SELECT file_id, path, repo, n, k, type, CAST(line AS INT) AS line, CAST(end_line AS INT) AS end_line, {_SEVERITY} AS severity, "
     f"{_CATEGORY} AS category, concat(type, '-', {_FILE}, '-', line) AS id FROM cf JOIN x USING (k))"
 )
 _BOTH = "v(variant, suffix) AS (VALUES (0, ''), (1, '-v1'))"
@@ -569,23 +569,27 @@ _NUMBERED = (
 )
 
 
+_SHOWN_RULES = ["SQL_INJECTION_RISK", "HARDCODED_SECRET", "MISSING_ERROR_HANDLING"]
+
+
 def _shown(spark, sf_dir):
-    """Shown already: the first variant of calls without error handling in files of even number."""
-    even = _files(spark, sf_dir).where(F.col("file_id").cast("bigint") % 2 == 0)
-    line = F.explode(F.array(F.lit(0), F.lit(1)))
-    return even.select(F.col("path").alias("file"), line.alias("line")).select(
-        questions.question_id(F.lit("MISSING_ERROR_HANDLING"), F.col("file"), F.col("line"), F.lit(0)).alias("question_id")
+    """Shown already: the first variant of three rules in the files of some repositories."""
+    rules = F.explode(F.array(*[F.lit(r) for r in _SHOWN_RULES])).alias("type")
+    files = _files(spark, sf_dir).where(F.col("repo").endswith("2")).select(F.col("path").alias("file"), rules)
+    lines = files.select("file", "type", F.explode(F.array(F.lit(0), F.lit(1))).alias("line"))
+    return lines.select(
+        questions.question_id(F.col("type"), F.col("file"), F.col("line"), F.lit(0)).alias("question_id")
     )
 
 
-_NOT_SHOWN = "NOT (n % 2 = 0 AND variant = 0 AND type = 'MISSING_ERROR_HANDLING')"
+_NOT_SHOWN = f"NOT (repo LIKE '%2' AND variant = 0 AND type IN ({', '.join(_lit(r) for r in _SHOWN_RULES)}))"
 
 
 @query("b10_fresh_pool", _with(_FINDING_FACTS, _BASE, _BOTH, _NUMBERED) + f"""
 SELECT concat(id, suffix) AS id, severity FROM o CROSS JOIN v
-WHERE {_NOT_SHOWN} AND severity <> 'critical' ORDER BY {_ORDER} LIMIT 25""")
+WHERE {_NOT_SHOWN} ORDER BY {_ORDER} LIMIT 25""")
 def b10_fresh_pool(spark, sf_dir):
-    keys = questions.question_keys(_findings(spark, sf_dir).where("severity <> 'critical'"))
+    keys = questions.question_keys(_findings(spark, sf_dir))
     return questions.fresh_pool(keys, _shown(spark, sf_dir), 25, questions.pick_order()).select("id", "severity")
 
 
@@ -604,12 +608,13 @@ def _priorities(spark, sf_dir):
         F.when(F.col("language") == "python", "database").otherwise("auth").alias("category"),
         (1 + F.col("file_id").cast("bigint") % 10).cast("int").alias("risk_level"),
         F.col("file_id").cast("bigint").alias("n"),
+        "repo",
     )
-    scores = files.where("n % 3 <> 0").select("file", (F.col("n") % 101).cast("int").alias("score"))
-    return files.drop("n"), scores
+    scores = files.where("repo <> 'Brand#17'").select("file", (F.col("n") % 101).cast("int").alias("score"))
+    return files.drop("n", "repo"), scores
 
 
-_PRIORITY = "(1 + n % 10) * (1 - CASE WHEN n % 3 <> 0 THEN n % 101 ELSE 100 END / 100::DOUBLE)"
+_PRIORITY = "(1 + n % 10) * (1 - CASE WHEN repo <> 'Brand#17' THEN n % 101 ELSE 100 END / 100::DOUBLE)"
 
 
 @query("b12_prioritize_files", _with() + f"SELECT path AS file, CAST(1 + n % 10 AS INT) AS risk_level, round({_PRIORITY}, 6) AS priority FROM cf WHERE contains(path, 'api')")

@@ -273,12 +273,12 @@ def s12_team_import(spark, sf_dir):
 
 @query("s13_upsert_session", """
 SELECT session_id, arg_max(score, (v, s)) AS score, CAST(max(v) AS BIGINT) AS version FROM (
-  SELECT o_orderkey AS session_id, CAST(o_orderkey % 101 AS INT) AS score, 1 AS v, 0 AS s FROM orders WHERE o_orderkey % 3 <> 0
+  SELECT o_orderkey AS session_id, CAST(o_orderkey % 101 AS INT) AS score, 1 AS v, 0 AS s FROM orders WHERE o_orderstatus <> 'P'
   UNION ALL
   SELECT l_orderkey, CAST(max(l_quantity) AS INT), CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 0 END, 1 FROM lineitem GROUP BY l_orderkey) x
 GROUP BY session_id""")
 def s13_upsert_session(spark, sf_dir):
-    current = D.table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 != 0).select(
+    current = D.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(
         F.col("o_orderkey").alias("session_id"),
         (F.col("o_orderkey") % 101).cast("int").alias("score"),
         F.lit(1).cast("bigint").alias("version"),

@@ -55,7 +55,7 @@ def _text(no: str) -> str:
 _CHOSEN = _text("(ascii(selected_label) - 65)")
 _OK = "(selected_label <> 'E' AND selected_label = chr(65 + right_no))"
 _PLACE = "concat(file, ':', start_line + 1)"
-_GRADED = f"{A}, {Q}, j AS (SELECT a.session_id, a.pos, a.question_id, a.tie_1, a.tie_2, selected_label, file, start_line, difficulty, question, explanation, right_no, {_OK} AS ok FROM a JOIN q USING (question_id))"
+_GRADED = f"{A}, {Q}, j AS (SELECT a.session_id, a.pos, a.question_id, a.tie_1, a.tie_2, a.ts, selected_label, file, start_line, difficulty, question, explanation, right_no, {_OK} AS ok FROM a JOIN q USING (question_id))"
 _KEYS = ["session_id", "pos", "question_id", "tie_1"]
 
 
@@ -153,12 +153,12 @@ def g6_difficulty_override(spark, sf_dir):
 
 
 @query("g7_record_answer", f"""WITH {_GRADED}
-SELECT session_id, pos, question_id, tie_1, ok AS is_correct, selected_label FROM j WHERE session_id % 2 = 0
-UNION ALL SELECT session_id, pos, question_id, tie_1, is_correct, selected_label FROM a WHERE session_id % 2 = 1""")
+SELECT session_id, pos, question_id, tie_1, ok AS is_correct, selected_label FROM j WHERE ts >= TIMESTAMP '2000-01-01'
+UNION ALL SELECT session_id, pos, question_id, tie_1, is_correct, selected_label FROM a WHERE ts < TIMESTAMP '2000-01-01'""")
 def g7_record_answer(spark, sf_dir):
     columns = [*_KEYS, "is_correct", "selected_label"]
-    log = D.answers(spark, sf_dir).where("session_id % 2 = 1").select(*columns)
-    return grading.record_answers(log, _graded(spark, sf_dir).where("session_id % 2 = 0"))
+    log = D.answers(spark, sf_dir).where("ts < '2000-01-01'").select(*columns)
+    return grading.record_answers(log, _graded(spark, sf_dir).where("ts >= '2000-01-01'"))
 
 
 # --- scores ---------------------------------------------------------------------------------
