@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Marker put in front of a regex hit. A Unicode noncharacter; `clean_text` removes it.
@@ -57,6 +57,14 @@ def half_up(value: Column) -> Column:
     return F.floor(value + 0.5).cast("int")
 
 
+def unmarked(files: DataFrame) -> DataFrame:
+    """Files whose content surely does not hold the marker, for tables not read by us."""
+    text = F.col("content")
+    return files.withColumn(
+        "content", F.when(text.contains(MARK), F.translate(text, MARK, " ")).otherwise(text)
+    )
+
+
 def mark_hits(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, MARK + "$0")
 

@@ -27,6 +27,7 @@ from graspmeter.functions.text import (
     regex_hits,
     split_lines,
     trim,
+    unmarked,
     widening,
 )
 from graspmeter.operators.metrics import nesting_depth
@@ -189,7 +190,8 @@ def candidates(files: DataFrame, keep_keywords: bool = False) -> DataFrame:
         ),
     )
     out = (
-        files.where(F.col("language") != "python")
+        unmarked(files)
+        .where(F.col("language") != "python")
         .select("file_id", F.explode(F.flatten(rows)).alias("c"))
         .select("file_id", "c.*")
     )
@@ -213,7 +215,7 @@ def function_spans(files: DataFrame) -> DataFrame:
     found = _FOUND()
     keep = [c for c in files.columns if c != "content"]
     return (
-        files.select(*keep, F.explode(found).alias("f"))
+        unmarked(files).select(*keep, F.explode(found).alias("f"))
         .select(
             *keep,
             F.concat_ws("#", "file_id", F.col("f.start_line")).alias("func_id"),
@@ -300,6 +302,12 @@ def parameters(param_text: Column) -> Column:
     )
 
 
+_NO_BLOCKS = (
+    "array<struct<try_start:int,try_end:int,catch_start:int,catch_end:int,catch_param:string,"
+    "catch_body:string,has_rethrow:boolean,has_return:boolean,only_logs:boolean>>"
+)
+
+
 def try_blocks(body: Column, start_line: Column) -> Column:
     """``try {..} catch (x) {..}`` blocks; those that start inside an earlier one are left out."""
 
@@ -399,7 +407,7 @@ def try_blocks(body: Column, start_line: Column) -> Column:
             lambda acc: acc["taken"],
         )
 
-    return F.transform(
+    blocks = F.transform(
         let(split_lines(body), found),
         lambda b: F.struct(
             (start_line + b["try_start"]).alias("try_start"),
@@ -413,6 +421,9 @@ def try_blocks(body: Column, start_line: Column) -> Column:
             trim(b["catch_body"]).rlike(K.ONLY_LOGS).alias("only_logs"),
         ),
     )
+    return F.when(body.rlike(K.TRY_LINE) & body.rlike(K.CATCH), blocks).otherwise(
+        F.array().cast(_NO_BLOCKS)
+    )
 
 
 def in_try(line: Column, blocks: Column) -> Column:

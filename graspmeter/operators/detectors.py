@@ -20,6 +20,7 @@ from graspmeter.functions.text import (
     render,
     split_lines,
     trim,
+    unmarked,
 )
 from graspmeter.operators.code_functions import functions
 from graspmeter.rule_texts import RULES
@@ -522,6 +523,9 @@ def _rule_value(column: str) -> Column:
     return F.element_at(F.create_map(*entries), F.col("type"))
 
 
+_RULE_KIND = once(lambda: {c: _rule_value(c) for c in ("severity", "category")})
+
+
 def _rows(funcs: DataFrame, found: Column) -> DataFrame:
     names = F.array(*[F.lit(n) for n in RULE_NAMES])
     return funcs.select(
@@ -537,7 +541,7 @@ def _rows(funcs: DataFrame, found: Column) -> DataFrame:
         F.col("x.line").alias("line"),
         F.col("x.end_line").alias("end_line"),
         F.map_from_entries("x.evidence").alias("evidence"),
-    ).withColumns({"severity": _rule_value("severity"), "category": _rule_value("category")})
+    ).withColumns(_RULE_KIND())
 
 
 def detect(funcs: DataFrame, rule: str) -> DataFrame:
@@ -550,8 +554,7 @@ def detect_all(funcs: DataFrame) -> DataFrame:
     return _rows(funcs, _ALL())
 
 
-def describe(findings: DataFrame) -> DataFrame:
-    """Add the filled-in texts of the rule. Do it last: the picks before need no texts."""
+def _described() -> dict[str, Column]:
     fields = F.map_concat(
         "evidence",
         F.create_map(
@@ -560,22 +563,31 @@ def describe(findings: DataFrame) -> DataFrame:
             F.lit("line_1"), (F.col("line") + 1).cast("string"),
         ),
     )
-    return findings.withColumns(
-        {
-            "description": render(_rule_value("description"), fields),
-            "consequence": render(_rule_value("consequence"), fields),
-            "correct_behavior": render(_rule_value("correct_behavior"), fields),
-            "incorrect_assumptions": _rule_value("incorrect_assumptions"),
-        }
-    )
+    texts = {c: render(_rule_value(c), fields) for c in ("description", "consequence", "correct_behavior")}
+    return {**texts, "incorrect_assumptions": _rule_value("incorrect_assumptions")}
+
+
+_DESCRIBED = once(_described)
 
 
-_SECRETS = once(lambda: secret_hits(F.col("content")))
+def describe(findings: DataFrame) -> DataFrame:
+    """Add the filled-in texts of the rule. Do it last: the picks before need no texts."""
+    return findings.withColumns(_DESCRIBED())
+
+
+_ANY_SECRET = "|".join(f"(?:{p})" for p, _ in K.SECRETS)
+_NO_SECRETS = "array<struct<line:int,nth:int,secret_type:string,variable:string,preview:string>>"
+# One pass tells that a text has none, as most have.
+_SECRETS = once(
+    lambda: F.when(F.col("content").rlike(_ANY_SECRET), secret_hits(F.col("content"))).otherwise(
+        F.array().cast(_NO_SECRETS)
+    )
+)
 
 
 def with_secrets(files: DataFrame) -> DataFrame:
     """Add the file's literal credentials, which the secret rule reports for each function."""
-    return files.withColumn("secrets", _SECRETS())
+    return unmarked(files).withColumn("secrets", _SECRETS())
 
 
 def audit(files: DataFrame) -> DataFrame:
@@ -586,7 +598,8 @@ def audit(files: DataFrame) -> DataFrame:
 def file_secrets(files: DataFrame) -> DataFrame:
     """Literal credentials, once per file and line (whether or not the file has functions)."""
     return (
-        files.select(
+        unmarked(files)
+        .select(
             "file_id", "relative_path", F.explode(first_by_key(F.array_sort(_SECRETS()), "line")).alias("s")
         )
         .select("file_id", "relative_path", "s.line", "s.secret_type", "s.variable", "s.preview")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graspmeter import constants as K
-from graspmeter.functions.text import half_up, line_count, once, regex_hits
+from graspmeter.functions.text import half_up, line_count, once, regex_hits, unmarked
 from graspmeter.operators.classify import with_risk
 
 
@@ -96,7 +96,7 @@ _SYMBOLS = once(_symbol_list)
 
 def symbols(files: DataFrame) -> DataFrame:
     """Function and class names by pattern, with the fixed span each kind is given."""
-    return files.select("file_id", F.explode(_SYMBOLS()).alias("s")).select("file_id", "s.*")
+    return unmarked(files).select("file_id", F.explode(_SYMBOLS()).alias("s")).select("file_id", "s.*")
 
 
 def totals(files: DataFrame, by: list[str]) -> DataFrame:
@@ -105,7 +105,7 @@ def totals(files: DataFrame, by: list[str]) -> DataFrame:
     Counted on the file row and summed on the map side: one pass over the corpus, no join.
     """
     n_functions = F.size(F.filter(_SYMBOLS(), lambda s: s["kind"] == "function"))
-    rows = with_risk(files).select(
+    rows = with_risk(unmarked(files)).select(
         *by, n_functions.alias("n_functions"), F.col("category").isNotNull().alias("is_critical")
     )
     return rows.groupBy(*by).agg(
