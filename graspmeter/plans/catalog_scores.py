@@ -285,7 +285,8 @@ FROM lineitem li JOIN q ON q.question_id = li.l_partkey JOIN num ON num.session_
 LEFT JOIN first ON first.session_id = li.l_orderkey AND first.question_id = li.l_partkey
 LEFT JOIN tot ON tot.session_id = li.l_orderkey""")
 def r11_history(spark, sf_dir):
-    asked = D.table(spark, sf_dir, "lineitem").select(
+    lines = D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
+    asked = D.spread(lines, "l_orderkey").select(
         F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("question_id"),
         F.concat_ws("-", "l_linenumber", "l_suppkey").alias("question_nth"),
     )

@@ -193,7 +193,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, SESSIONS_SQL, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    return _sql(spark, sf_dir, SESSIONS_SQL, "orders", orders=orders)
 
 
 def critical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
