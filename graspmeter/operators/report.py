@@ -166,22 +166,17 @@ def history(
     marked = answers.join(right, "question_id").withColumn(
         "is_correct", F.coalesce(F.col("selected_label") == F.col("_right"), F.lit(False))
     )
-    # Totals come from the rows per question, so the answers are shuffled once.
     first = marked.groupBy("session_id", "question_id").agg(
-        F.min_by("selected_label", "nth").alias("selected_label"),
-        n_right().alias("n_right"),
-        F.count("*").alias("n_answered"),
+        F.min_by("selected_label", "nth").alias("selected_label"), F.lit(True).alias("answered")
     )
-    totals = first.groupBy("session_id").agg(
-        F.sum("n_right").alias("n_right"), F.sum("n_answered").alias("n_answered")
-    )
-    answered = first.select("session_id", "question_id", "selected_label", F.lit(True).alias("answered"))
+    totals = marked.groupBy("session_id").agg(n_right().alias("n_right"), F.count("*").alias("n_answered"))
+    # Session facts meet first, so the many rows are joined with them once.
+    about_session = session_numbers(sessions).join(totals, "session_id", "left")
     graded = graded_columns()
     ok = F.col("answered").isNotNull() & graded["is_correct"]
     return (
-        session_questions.join(answered, ["session_id", "question_id"], "left")
-        .join(session_numbers(sessions), "session_id")
-        .join(totals, "session_id", "left")
+        session_questions.join(first, ["session_id", "question_id"], "left")
+        .join(about_session, "session_id")
         .join(key, "question_id")
         .select(
             "user_id",
