@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,12 @@ BATCH_ROWS = "512"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with UTC, adaptive execution and small Arrow batches."""
+    """The session with UTC, adaptive execution and small Arrow batches.
+
+    Python workers look for the package where the driver has it, unless told otherwise; a
+    cluster without that folder gets the package with ``--py-files``.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 

@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graspmeter.llm.common import table
+from graspmeter.llm.exact_dedup import exact_groups
+from graspmeter.llm.simhash_dedup import near_groups
 from graspmeter.llm.token_counts import count_tokens
 from graspmeter.llm.url_filters import judge_urls
 
@@ -26,6 +28,14 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), size=3, max_bits=3)
+
+
 OP4_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest
@@ -47,11 +57,25 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM split LEFT JOIN fitting USING (page_id)
 """
 
+OP6_SQL = r"""
+WITH digests AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
+), ranked AS (
+  SELECT doc_id, sha256(norm) AS text_sha256, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept
+  FROM digests WINDOW same AS (PARTITION BY norm)
+)
+SELECT doc_id, coalesce(keep_id, doc_id) AS keep_id, group_size, kept, text_sha256 FROM ranked
+"""
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_simhash_dedup": op7_simhash_dedup,
 }
 
 ORACLES = {
     "op4_url_filters": OP4_SQL,
+    "op6_exact_dedup": OP6_SQL,
 }
