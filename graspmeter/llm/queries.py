@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graspmeter.llm.common import table
 from graspmeter.llm.exact_dedup import exact_groups
+from graspmeter.llm.mixing import mix
+from graspmeter.llm.quality import score_quality
 from graspmeter.llm.simhash_dedup import near_groups
 from graspmeter.llm.token_counts import count_tokens
 from graspmeter.llm.url_filters import judge_urls
@@ -20,6 +22,10 @@ URL_RULES = [
 ]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -28,6 +34,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, repeats=2.0)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -69,8 +79,10 @@ SELECT doc_id, coalesce(keep_id, doc_id) AS keep_id, group_size, kept, text_sha2
 """
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
 }
