@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graspmeter.llm.common import table
+from graspmeter.llm.decontam import contaminated
 from graspmeter.llm.exact_dedup import exact_groups
 from graspmeter.llm.mixing import mix
 from graspmeter.llm.quality import score_quality
@@ -26,6 +27,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -80,6 +85,7 @@ SELECT doc_id, coalesce(keep_id, doc_id) AS keep_id, group_size, kept, text_sha2
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
     "op5_mixing": op5_mixing,
