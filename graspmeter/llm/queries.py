@@ -11,6 +11,7 @@ from graspmeter.llm.exact_dedup import exact_groups
 from graspmeter.llm.mixing import mix
 from graspmeter.llm.quality import score_quality
 from graspmeter.llm.simhash_dedup import near_groups
+from graspmeter.llm.substring_dedup import repeated_spans
 from graspmeter.llm.token_counts import count_tokens
 from graspmeter.llm.url_filters import judge_urls
 
@@ -51,6 +52,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), size=3, max_bits=3)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 OP4_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest
@@ -91,6 +96,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES = {
