@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graspmeter.llm.common import table
 from graspmeter.llm.decontam import contaminated
 from graspmeter.llm.exact_dedup import exact_groups
+from graspmeter.llm.html_extract import main_texts
 from graspmeter.llm.mixing import mix
 from graspmeter.llm.quality import score_quality
 from graspmeter.llm.simhash_dedup import near_groups
@@ -56,6 +57,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 OP4_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest
@@ -97,6 +102,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {
