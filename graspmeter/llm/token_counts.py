@@ -158,7 +158,7 @@ class Merger:
         """Add what the held chunks count; ``known`` has them without the space they begin with."""
         if len(self.known) > CACHE:
             self.known.clear()
-        new = list(set().union(*(spaced for *_, spaced in held)) - self.known.keys())
+        new = [part for part in set().union(*(spaced for *_, spaced in held)) if part not in self.known]
         bare = [part for _, parts, _ in held for part in parts]
         counts = self.count_chunks([" " + part for part in new] + bare)
         self.known.update(zip(new, counts))
