@@ -14,6 +14,7 @@ from graspmeter.llm.quality import score_quality
 from graspmeter.llm.simhash_dedup import near_groups
 from graspmeter.llm.substring_dedup import repeated_spans
 from graspmeter.llm.token_counts import count_tokens
+from graspmeter.llm.toxicity import score_toxicity
 from graspmeter.llm.url_filters import judge_urls
 
 URL_RULES = [
@@ -53,6 +54,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), size=3, max_bits=3)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -101,6 +106,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
