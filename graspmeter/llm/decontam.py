@@ -1,7 +1,8 @@
 """Benchmark decontamination with SimHash windows of the items' sizes.
 
 A window of a document can only be similar to an item if it shares a shingle with some item of
-that size. So windows begin where a shared shingle says that an item would begin. Distinct
+that size. So windows begin where a shared shingle says that an item would begin; a bit set of
+the items' shingles finds the few that are shared. Distinct
 windows get a SimHash; multi-index blocks bring together all windows and items of one size
 whose fingerprints are within the radius, and the exact similarity of the weighted shingles
 (each weighing as often as it occurs) decides. All of it is DataFrame work.
@@ -21,6 +22,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS = 19
 #: Bits of the fingerprint blocks; with a distance of 19 some block differs in 3 bits at most.
 BLOCKS = (13, 13, 13, 13, 12)
+#: Longs of the bit set of the items' shingles: a million bits.
+CELLS = 1 << 14
 
 
 def words_of(text: Column) -> Column:
@@ -78,6 +81,36 @@ def near_blocks(items: DataFrame, radius: int) -> DataFrame:
     )
 
 
+def item_bits(items: DataFrame) -> DataFrame:
+    """``(cell, bits)``: the hashes of all items' shingles as bits of at most ``CELLS`` longs."""
+    return (
+        items.select(F.explode("hashes").alias("h"))
+        .select(F.col("h").bitwiseAND(F.lit(CELLS - 1)).alias("cell"), F.expr("shiftleft(1L, cast(shiftright(h, 32) & 63 as int))").alias("bit"))
+        .groupBy("cell")
+        .agg(F.bit_or("bit").alias("bits"))
+    )
+
+
+def shared_shingles(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """``(id, pos, hash)`` of the shingles of ``docs`` that an item may have.
+
+    The bit set, a literal of fixed size, leaves out nearly all others before anything is spread
+    or shuffled. What it lets through by chance goes with the join that follows, so its size
+    costs no result.
+    """
+    cells = dict(item_bits(items).collect())
+    bits = F.split(F.lit(",".join(str(cells.get(c, 0)) for c in range(CELLS))), ",").cast("array<long>")
+
+    def told(h: Column, i: Column) -> Column:
+        cell = F.element_at(bits, (h.bitwiseAND(F.lit(CELLS - 1)) + 1).cast("int"))
+        held = F.getbit(cell, F.shiftright(h, 32).bitwiseAND(F.lit(63)).cast("int")) == 1
+        return F.when(held, F.struct(i.alias("pos"), h.alias("hash")))
+
+    # The words stay a column of their own, for a lambda would split the text at every word.
+    split = docs.select("id", words_of(F.col("text")).alias("words"))
+    return split.select("id", F.inline(F.array_compact(F.transform(shingle_hashes(F.col("words"), size), told))))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -100,16 +133,18 @@ def contaminated(
     prepared = prepared.select("item_id", F.size("words").alias("size"), shingle_hashes(F.col("words"), size).alias("hashes")).where(F.size("hashes") > 0)
     items = written(with_simhash(prepared, "hashes").withColumn("shingles", weighted(F.col("hashes"))), "items")
 
-    # Where an item of a size would begin, given a shingle of it. Spark broadcasts this if it is small enough.
-    anchors = written(
-        items.select("size", F.posexplode("hashes").alias("at", "hash")).distinct().repartition("hash"), "anchors"
-    )
-    spread = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).select(
-        "id", "words", F.posexplode(shingle_hashes(F.col("words"), size)).alias("pos", "hash")
+    # Where an item of a size would begin, given a shingle of it.
+    anchors = written(items.select("size", F.posexplode("hashes").alias("at", "hash")).distinct(), "anchors")
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    begins = written(
+        shared_shingles(named, items, size).join(anchors, "hash").select("id", "size", (F.col("pos") - F.col("at")).alias("begin")).distinct(), "begins"
     )
-    begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("words") - F.col("size")))
+    by_document = begins.groupBy("id").agg(F.collect_list(F.struct("size", "begin")).alias("begins")).withColumnRenamed("id", "of")
+    begin = F.greatest(F.lit(0), F.least(F.col("begin"), F.size("words") - F.col("size")))
     hits = written(
-        spread.join(anchors, "hash")
+        named.join(by_document, F.col("id").eqNullSafe(F.col("of")))
+        .select("id", words_of(F.col("text")).alias("words"), "begins")
+        .select("id", "words", F.inline("begins"))
         .select("id", "size", begin.alias("first_word"), F.concat_ws(" ", F.slice("words", begin + 1, F.col("size"))).alias("window"))
         .distinct(),
         "windows",
