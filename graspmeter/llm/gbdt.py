@@ -49,7 +49,7 @@ def train(
     base = float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
     flat: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "right", "value")}
     roots: list[int] = []
-    if 0 < mean < 1:
+    if len(labels) and 0 < mean < 1:
         edges = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(rows.shape[1])]
         binned = np.stack([np.searchsorted(e, rows[:, f], side="left") for f, e in enumerate(edges)], axis=1)
         raw = np.full(len(rows), base)
