@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from graspmeter import constants as K
 from graspmeter.functions.text import (
+    MARK,
     first_by_key,
     let,
+    mark_hits,
     newlines,
     once,
     regex_hits,
@@ -206,7 +208,7 @@ def _inconsistent_return() -> Column:
 def secret_hits(content: Column) -> Column:
     """Literal credentials in a text: ``array<struct<line, nth, secret_type, variable, preview>>``.
 
-    The same first ten characters on one line count once.
+    The same text on one line counts once.
     """
 
     def rows(pattern: str, base: str, no: int) -> Column:
@@ -218,9 +220,7 @@ def secret_hits(content: Column) -> Column:
         return F.transform(
             regex_hits(content, pattern),
             lambda h, i: F.struct(
-                F.struct(
-                    h["line"].alias("line"), F.substring(h["text"], 1, 10).alias("head")
-                ).alias("key"),
+                F.struct(h["line"].alias("line"), h["text"].alias("text")).alias("key"),
                 F.struct(F.lit(no).alias("rule"), i.alias("i")).alias("nth"),
                 h["line"].alias("line"),
                 kind(h["text"]).alias("secret_type"),
@@ -430,37 +430,61 @@ def _dead(at: Column, text: Column, cause: Column) -> Column:
     )
 
 
-# Group 3 is the text from the call to the next mention of the assigned name, if there is one.
-_ASSIGNED_CALL = K.ASSIGNED_CALL + r"(?:(?=([\s\S]*?(?<!\w)\1(?!\w))))?"
 _ASYNC_CALLEE = "|".join(n.replace(".", r"\.") for n in K.KNOWN_ASYNC)
+# Words of a body, and the marks in front of assigned calls.
+_WORD_OR_MARK = MARK + r"|\w+"
 
 
 def _missing_await() -> Column:
+    """One pass lists the words of the body with their lines; a kept call looks for its name behind it."""
     body, start = F.col("body"), F.col("start_line")
 
-    def rows(lines: Column) -> Column:
-        hits = F.filter(
-            regex_hits(body, _ASSIGNED_CALL, 1, 2, 3),
-            lambda h: F.lower(h["g2"]).rlike(_ASYNC_CALLEE),
+    def words_of(text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(_WORD_OR_MARK), F.lit(0))
+
+    def rows(lines: Column, words: Column, word_lines: Column) -> Column:
+        marks = F.filter(F.transform(words, lambda w, i: F.when(w == MARK, i)), lambda i: i.isNotNull())
+        calls = F.transform(
+            F.arrays_zip(regex_hits(body, K.ASSIGNED_CALL, 1, 2).alias("hit"), marks.alias("at")),
+            lambda c: F.struct(
+                c["hit"]["line"].alias("line"), c["hit"]["g1"].alias("name"), c["hit"]["g2"].alias("callee"),
+                (c["at"] + F.size(words_of(c["hit"]["text"]))).alias("last_word"),
+            ),
         )
+        known = F.filter(calls, lambda c: F.lower(c["callee"]).rlike(_ASYNC_CALLEE))
+
+        def used_on(call: Column) -> Column:
+            behind = F.array_position(F.slice(words, call["last_word"] + 2, F.size(words)), call["name"]).cast("int")
+            return F.when(behind > 0, start + F.get(word_lines, call["last_word"] + behind))
+
         return F.transform(
-            first_by_key(hits, "line"),
-            lambda h, i: _finding(
-                start + h["line"],
+            known,
+            lambda c, i: _finding(
+                start + c["line"],
                 i,
                 _evidence(
                     kind=F.lit("missing_await"),
-                    async_call=h["g2"],
+                    async_call=c["callee"],
                     function_is_async=F.substring_index("full_source", "\n", 1).rlike(r"(?<!\w)async(?!\w)"),
-                    result_used_on_line=F.when(
-                        h["g3"] != "", start + h["line"] + newlines(h["g3"])
-                    ),
-                    line_text=trim(F.get(lines, h["line"])),
+                    result_used_on_line=used_on(c),
+                    line_text=trim(F.get(lines, c["line"])),
                 ),
             ),
         )
 
-    return F.when(body.rlike(K.ASSIGNED_CALL), let(split_lines(body), rows)).otherwise(_none())
+    def word_lines(marked: Column) -> Column:
+        return F.flatten(F.transform(split_lines(marked), lambda line, i: F.array_repeat(i, F.size(words_of(line)))))
+
+    found = let(
+        mark_hits(body, K.ASSIGNED_CALL),
+        lambda marked: let(
+            words_of(marked),
+            lambda words: let(
+                word_lines(marked), lambda at: let(split_lines(body), lambda lines: rows(lines, words, at))
+            ),
+        ),
+    )
+    return F.when(body.rlike(K.ASSIGNED_CALL), found).otherwise(_none())
 
 
 _DETECTORS = {
@@ -501,16 +525,16 @@ def _tagged(name: str) -> Column:
     )
 
 
-def _first_per_line(tagged: Column) -> Column:
+def _untagged(tagged: Column) -> Column:
     return F.transform(
-        first_by_key(F.array_sort(tagged), "key"),
+        tagged,
         lambda x: F.struct(x["rank"], x["key"]["rule"].alias("rule"), x["nth"], x["key"]["line"].alias("line"),
                            x["end_line"], x["evidence"]),
     )
 
 
-_ALL = once(lambda: F.array_sort(_first_per_line(F.concat(*[_tagged(n) for n in RULE_NAMES]))))
-_ONE = {n: once(lambda n=n: F.array_sort(_first_per_line(_tagged(n)))) for n in RULE_NAMES}
+_ALL = once(lambda: F.array_sort(_untagged(first_by_key(F.array_sort(F.concat(*[_tagged(n) for n in RULE_NAMES])), "key"))))
+_ONE = {n: once(lambda n=n: F.array_sort(_untagged(_tagged(n)))) for n in RULE_NAMES}
 
 
 def _rule_value(column: str) -> Column:
@@ -545,12 +569,12 @@ def _rows(funcs: DataFrame, found: Column) -> DataFrame:
 
 
 def detect(funcs: DataFrame, rule: str) -> DataFrame:
-    """Findings of one rule, one per function and line."""
+    """All findings of one rule, also several on one line."""
     return _rows(funcs, _ONE[rule]())
 
 
 def detect_all(funcs: DataFrame) -> DataFrame:
-    """Findings of all rules; ``pos`` orders them by severity, rule and place in a function."""
+    """Findings of all rules, one per rule, function and line; ``pos`` orders them by severity, rule and place in a function."""
     return _rows(funcs, _ALL())
 
 
@@ -596,11 +620,11 @@ def audit(files: DataFrame) -> DataFrame:
 
 
 def file_secrets(files: DataFrame) -> DataFrame:
-    """Literal credentials, once per file and line (whether or not the file has functions)."""
+    """All literal credentials of a file, whether or not it has functions."""
     return (
         unmarked(files)
         .select(
-            "file_id", "relative_path", F.explode(first_by_key(F.array_sort(_SECRETS()), "line")).alias("s")
+            "file_id", "relative_path", F.explode(_SECRETS()).alias("s")
         )
         .select("file_id", "relative_path", "s.line", "s.secret_type", "s.variable", "s.preview")
     )

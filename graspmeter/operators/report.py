@@ -11,12 +11,11 @@ from graspmeter.operators.grading import answer_key, graded_columns
 
 
 def progress_timeline(sessions: DataFrame, scores: DataFrame) -> DataFrame:
-    """Finished sessions with end time and score (0 if nothing was answered), oldest first."""
+    """Finished sessions with end time and score (0 if nothing was answered), in no order."""
     done = sessions.where(F.col("end_ts").isNotNull())
     return (
         done.join(scores.select("session_id", "score"), "session_id", "left")
         .select("user_id", "session_id", "end_ts", F.coalesce("score", F.lit(0)).alias("score"))
-        .orderBy("user_id", "end_ts", "session_id")
     )
 
 
@@ -72,7 +71,10 @@ def learning_path(
         F.lit(0).alias("branch"), "rank", "file", "start_line", "end_line", concept.alias("concept"),
         graded_columns()["feedback"].alias("why_it_matters"), "key",
     )
-    top_zones = zones.orderBy(F.desc("danger_score"), "relative_path").limit(2 * K.LEARNING_ITEMS)
+    # Rows of one place are one item, so they come together before the first are taken.
+    zone = F.struct((-F.col("danger_score")).alias("o"), "relative_path", "category", *[c for c in zones.columns if c not in ("danger_score", "relative_path", "category")])
+    one_each = zones.groupBy("file", "start_line").agg(F.min(zone).alias("z")).select("z.*", (-F.col("z.o")).alias("danger_score"))
+    top_zones = one_each.orderBy(F.desc("danger_score"), "relative_path", "file").limit(2 * K.LEARNING_ITEMS)
     from_zones = top_zones.select(
         F.lit(1).alias("branch"),
         F.row_number().over(Window.orderBy(F.desc("danger_score"), "relative_path")).alias("rank"),

@@ -322,9 +322,9 @@ _SECRET_RX = [_SECRET, "sk-[A-Za-z0-9]{20,}", "sk_live_[A-Za-z0-9]{20,}", "ghp_[
 
 @query("d6_file_secrets", """
 WITH h AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no FROM h)
-SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(line_no AS INT) AS line FROM l
-WHERE """ + " OR ".join(f"regexp_matches(line, '{rx}')" for rx in _SECRET_RX))
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no FROM h),
+s AS (""" + " UNION ".join(f"SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{rx}')) AS hit FROM l" for rx in _SECRET_RX) + """)
+SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(line_no AS INT) AS line FROM s""")
 def d6_file_secrets(spark, sf_dir):
     return detectors.file_secrets(D.documents(spark, sf_dir)).select("file_id", "line")
 

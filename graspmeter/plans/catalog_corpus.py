@@ -306,9 +306,15 @@ def s14_mark_shown(spark, sf_dir):
     return state.mark_shown(shown, D.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("question_id")))
 
 
-@query("s15_reset_state", "SELECT o_orderkey AS session_id, o_custkey AS user_id FROM orders WHERE false")
+@query("s15_reset_state", "SELECT 'sessions' AS name, o_orderkey AS key, o_custkey AS user_id FROM orders")
 def s15_reset_state(spark, sf_dir):
-    return state.reset(D.sessions(spark, sf_dir).select("session_id", "user_id"))
+    """Of two saved tables one is reset; what is left is shown."""
+    base = work_dir(spark, "state")
+    state.save(D.sessions(spark, sf_dir).select(F.col("session_id").alias("key"), "user_id"), base, "sessions")
+    state.save(D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.lit(None).cast("bigint").alias("user_id")), base, "shown_questions")
+    state.reset_all(spark, base, ["shown_questions"])
+    left = [state.load(spark, base, name).select(F.lit(name).alias("name"), "key", "user_id") for name in ("sessions", "shown_questions")]
+    return left[0].unionByName(left[1])
 
 
 @query("s16_pin_unpin", """

@@ -15,12 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small input that comes as few splits, so that text work uses every core.
+    """``df`` in as many partitions as the caller names in ``graspmeter.input.partitions``.
 
-    An input with enough splits is left as it is: no shuffle at scale.
+    Without that setting the files' own splits are used and nothing is shuffled. It is meant for
+    inputs that come as one small file.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    wanted = df.sparkSession.conf.get("graspmeter.input.partitions", None)
+    return df.repartition(int(wanted), key) if wanted else df
 
 
 # --- source corpus: one generated file per part -----------------------------------------
@@ -137,7 +138,6 @@ OPTION_TEXTS = [
     "It returns null", "The .gitignore", "Nothing happens", "It stops",
 ]
 
-# Answers on one brand are left out, so that one risky file has no score.
 ANSWERS_SQL = """
 SELECT l_orderkey AS session_id, l_linenumber AS pos, l_partkey AS question_id,
        l_suppkey AS tie_1, l_extendedprice AS tie_2,
@@ -145,20 +145,21 @@ SELECT l_orderkey AS session_id, l_linenumber AS pos, l_partkey AS question_id,
        CASE WHEN l_quantity = 50 THEN 'E'
             WHEN l_quantity <= 2 * CAST(substr(p_brand, 7) AS INT) THEN chr(CAST(65 + p_size % 4 AS INT))
             ELSE chr(CAST(65 + (p_size + 1) % 4 AS INT)) END AS selected_label
-FROM lineitem JOIN part ON l_partkey = p_partkey
-WHERE p_brand <> 'Brand#17'"""
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 SESSIONS_SQL = """
 SELECT o_orderkey AS session_id, o_custkey AS user_id, o_orderdate AS start_ts,
        CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 1 HOUR END AS end_ts
 FROM orders"""
 
+# The last file is risky, and no question names it, so it has no score.
 CRITICAL_SQL = """
 SELECT DISTINCT p_brand AS file, concat('/ws/', p_brand) AS abs_file,
        CASE CAST(substr(p_brand, 7) AS INT) % 3 WHEN 0 THEN 'auth' WHEN 1 THEN 'payments' ELSE 'database' END AS category,
        CAST(least(10, 1 + CAST(substr(p_brand, 7) AS INT) % 10) AS INT) AS risk_level
 FROM part
-WHERE CAST(substr(p_brand, 7) AS INT) % 8 <> 0"""
+WHERE CAST(substr(p_brand, 7) AS INT) % 8 <> 0
+UNION ALL SELECT 'Brand#00', '/ws/Brand#00', 'auth', 10"""
 
 # Order of the answers of one session; unique together with the session.
 ANSWER_ORDER = ["pos", "question_id", "tie_1", "tie_2"]

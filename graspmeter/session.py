@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,9 +28,11 @@ def configure(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 
-    Only when the cluster names none (local tests) is a temporary folder made.
+    A cluster has to name one. Only a session in a single process (tests) gets a temporary one.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
+    if not base and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="graspmeter-")
         spark.conf.set(CHECKPOINT_CONF, base)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +59,11 @@ def reset(df: DataFrame) -> DataFrame:
 
 def reset_all(spark: SparkSession, base: str, names: list[str] | None = None) -> None:
     """Overwrite saved tables with empty ones; tables that were never saved are left alone."""
-    jvm = spark._jvm
     for name in names or TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            save(spark.createDataFrame([], load(spark, base, name).schema), base, name)
+        try:
+            schema = load(spark, base, name).schema
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        save(spark.createDataFrame([], schema), base, name)

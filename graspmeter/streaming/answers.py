@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -75,6 +76,9 @@ def answer_stream(
     return reader.parquet(folder)
 
 
+LATE = "batch_id long, rows long"
+
+
 def write_table(df: DataFrame, mode: str, folder: str | None = None) -> tuple[StreamingQuery, str]:
     """Run a stream over all available input into a Parquet table in the shared folder.
 
@@ -84,7 +88,16 @@ def write_table(df: DataFrame, mode: str, folder: str | None = None) -> tuple[St
     spark = df.sparkSession
     base = folder or work_dir(spark, "stream")
 
+    late: dict[int, int] = {}
+    running: list[StreamingQuery] = []
+
+    def note_late() -> None:
+        # A query keeps its last hundred batches only, so they are noted as it goes.
+        for done in running[0].recentProgress if running else ():
+            late[done.batchId] = sum(op.numRowsDroppedByWatermark for op in done.stateOperators)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
+        note_late()
         batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
             f"{base}/out/run={batch_id}"
         )
@@ -96,7 +109,10 @@ def write_table(df: DataFrame, mode: str, folder: str | None = None) -> tuple[St
         .trigger(availableNow=True)
         .start()
     )
+    running.append(query)
     query.awaitTermination()
+    note_late()
+    spark.createDataFrame(list(late.items()), LATE).write.mode("append").parquet(f"{base}/late")
     return query, f"{base}/out"
 
 
@@ -111,26 +127,26 @@ def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     )
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows the query dropped because they were older than the watermark."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+def dropped_late(spark: SparkSession, out: str) -> int:
+    """Rows that a stream written by ``write_table`` dropped as older than the watermark, in all its runs."""
+    late = spark.read.schema(LATE).parquet(f"{out.rsplit('/', 1)[0]}/late")
+    return late.groupBy("batch_id").agg(F.max("rows").alias("rows")).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
 
 
 def _generations(
     df: DataFrame, store: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]
-) -> tuple[StreamingQuery, str]:
+) -> tuple[StreamingQuery, str | None]:
     """Carry a table through the micro-batches of a stream: ``table = merge(batch, table)``.
 
     Two folders take turns, so a batch that is run again after a failure still finds the
-    table it started from. Gives the query and the folder of the last table.
+    table it started from. Gives the query and the folder of the last table, None before any data.
     """
     spark = df.sparkSession
-    last = {"folder": None}
 
     def step(batch: DataFrame, batch_id: int) -> None:
         before = spark.read.parquet(f"{store}/gen={(batch_id - 1) % 2}") if batch_id else None
-        last["folder"] = f"{store}/gen={batch_id % 2}"
-        merge(batch, before).write.mode("overwrite").parquet(last["folder"])
+        merge(batch, before).write.mode("overwrite").parquet(f"{store}/gen={batch_id % 2}")
+        spark.createDataFrame([(batch_id,)], "batch_id long").coalesce(1).write.mode("append").parquet(f"{store}/done")
 
     query = (
         df.writeStream.foreachBatch(step)
@@ -139,7 +155,14 @@ def _generations(
         .start()
     )
     query.awaitTermination()
-    return query, last["folder"]
+    # A restart without new data runs no batch, so the store itself tells the last one.
+    try:
+        last = spark.read.schema("batch_id long").parquet(f"{store}/done").agg(F.max("batch_id")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    return query, None if last is None else f"{store}/gen={last % 2}"
 
 
 def adaptive_levels(answers: DataFrame, store: str | None = None) -> DataFrame:
@@ -167,6 +190,9 @@ def adaptive_levels(answers: DataFrame, store: str | None = None) -> DataFrame:
         return new.select("user_id", answered.alias("answered"), after.alias("state"))
 
     _, folder = _generations(rows, store or work_dir(spark, "levels"), merge)
+    if folder is None:
+        none = answers.sparkSession.createDataFrame([], rows.schema)
+        return grading.adaptive_difficulty(none, "user_id", ["ts", "answer_id"]).select("user_id", "answered", "level")
     return spark.read.parquet(folder).select(
         "user_id", "answered", grading.level_of(F.col("state")).alias("level")
     )
@@ -181,4 +207,4 @@ def upsert_stream(changes: DataFrame, key: str, version: str, store: str | None
         return state.upsert(current, batch, key, F.col(version))
 
     _, folder = _generations(changes, store or work_dir(spark, "upsert"), merge)
-    return spark.read.parquet(folder)
+    return spark.createDataFrame([], changes.schema) if folder is None else spark.read.parquet(folder)

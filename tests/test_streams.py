@@ -44,7 +44,7 @@ def test_running_scores_equal_batch(spark, log):
     cols = ("user_id", "correct", "answered", "score")
     assert rows(got, *cols) == rows(want, *cols)
     assert len(query.recentProgress) >= 3
-    assert stream.dropped_late(query) == 0
+    assert stream.dropped_late(spark, out) == 0
 
 
 def test_late_and_repeated_answers_do_not_count(spark, log, tmp_path):
@@ -59,7 +59,7 @@ def test_late_and_repeated_answers_do_not_count(spark, log, tmp_path):
     query, out = stream.write_table(stream.running_scores(source(spark, many), "1 day"), "update")
     total = stream.latest(spark, out, ["user_id"]).agg(F.sum("answered")).head()[0]
     assert total == events.where("ts >= '2024-01-10'").count()
-    assert stream.dropped_late(query) >= 1
+    assert stream.dropped_late(spark, out) >= 1
 
 
 def test_adaptive_levels_equal_batch(spark, log):
@@ -83,3 +83,16 @@ def test_upsert_stream_keeps_the_newest(spark, log):
     got = stream.upsert_stream(source(spark, folder), "user_id", "answer_id")
     want = events.groupBy("user_id").agg(F.max("answer_id").alias("answer_id"))
     assert rows(got, "user_id", "answer_id") == rows(want, "user_id", "answer_id")
+
+
+def test_a_restart_without_new_data_gives_the_last_table(spark, log, tmp_path):
+    folder, _ = log
+    for number, run in enumerate(
+        (
+            lambda store: stream.adaptive_levels(source(spark, folder), store),
+            lambda store: stream.upsert_stream(source(spark, folder), "user_id", "answer_id", store),
+        )
+    ):
+        store = str(tmp_path / f"store{number}")
+        first = sorted(map(str, run(store).collect()))
+        assert first and sorted(map(str, run(store).collect())) == first
