@@ -111,7 +111,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("fingerprint", "sha")
         .agg(F.min(F.struct(F.isnull("id"), "id", "row"))["row"].alias("keep_row"))
     )
-    found = digests.join(classes.join(keepers, ["fingerprint", "sha"]), ["fingerprint", "sha"], "left")
+    # A written side lets Spark split a hot text's rows in the last join.
+    marked = written(classes.join(keepers, ["fingerprint", "sha"]), "classes")
+    found = digests.join(marked, ["fingerprint", "sha"], "left")
     single = F.col("keep_row").isNull()
     return found.select(
         F.col("id").alias(id_col),
