@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from graspmeter.llm.common import word_count, written
 
 #: Documents in a key range on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float], share: float, repeats: float) -> DataFrame:
