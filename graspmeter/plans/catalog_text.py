@@ -64,9 +64,7 @@ _BLOCK = "array_to_string(lines[a : least(a + 149, len(lines))], chr(10))"
            "start": "a", "end": "a + len(string_split(code, chr(10))) - 1", "start_5": "a + 5", "code": "code", "count": "5", "difficulty": "3",
        }) + " AS prompt FROM b")
 def l3_question_prompts(spark, sf_dir):
-    docs = D.documents(spark, sf_dir).join(
-        D.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.col("lang").alias("category")), "file_id"
-    )
+    docs = D.documents(spark, sf_dir, "lang").withColumnRenamed("lang", "category")
     files = docs.withColumn("framework", F.lit(None).cast("string")).withColumn(
         "start_line", (1 + F.col("file_id").cast("bigint") % 3).cast("int")
     )

@@ -217,9 +217,9 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: text content under a path made from source and id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Documents as files: text content under a path made from source and id; ``more`` columns stay."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", *more)
     return spread(docs, "doc_id").select(
         F.col("doc_id").cast("string").alias("file_id"),
         F.concat("source", F.lit("/"), "doc_id", F.lit(".ts")).alias("path"),
@@ -227,6 +227,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("typescript").alias("language"),
         F.col("source").alias("repo"),
         F.col("text").alias("content"),
+        *more,
     )
 
 

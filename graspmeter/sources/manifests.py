@@ -35,15 +35,15 @@ def project_profiles(manifests: DataFrame) -> DataFrame:
     """One row per project from ``manifests(project, file_name, content)``.
 
     ``package.json`` comes first, then ``requirements.txt``, then ``pyproject.toml``. The four
-    root manifests are pre-aggregated per project, so a project's other files cost nothing.
+    root manifests are pre-aggregated per project in one pass; a project's other files only make
+    it appear. Of several manifests of one name the greatest text counts.
     """
-    one = manifests.where(F.col("file_name").isin(*_MANIFESTS)).groupBy("project").agg(
+    one = manifests.groupBy("project").agg(
         *[
             F.max(F.when(F.col("file_name") == name, F.col("content"))).alias(alias)
             for name, alias in zip(_MANIFESTS, ("package", "tsconfig", "requirements", "pyproject"))
         ]
     )
-    projects = manifests.select("project").distinct()
     package = F.from_json("package", _PACKAGE, {"mode": "PERMISSIVE"})
     empty = F.create_map().cast("map<string,string>")
     parsed = one.withColumn("package_doc", package).withColumn(
@@ -90,8 +90,7 @@ def project_profiles(manifests: DataFrame) -> DataFrame:
             for flag in JS_FLAGS
         ],
     )
-    out = projects.join(profile, "project", "left")
-    return out.select(
+    return profile.select(
         "project",
         F.coalesce("primary_language", F.lit("unknown")).alias("primary_language"),
         "framework",
