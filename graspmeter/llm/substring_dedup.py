@@ -23,7 +23,9 @@ from graspmeter.llm.common import written
 
 #: Words of a stretch that is removed, at least. A repeated passage often begins inside a
 #: sentence of its document, so the limit is lower than the passages of interest are long.
-LEAST_WORDS = 30
+#: Units of fewer than ``COUNTED`` words belong to a stretch but don't count for the limit, as
+#: any two texts share them.
+LEAST_WORDS, COUNTED = 27, 4
 UNIT = re.compile(r"[^\n.!?]+[.!?]*")
 WORD = re.compile(r"\w+")
 
@@ -89,9 +91,10 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
         .agg(
             F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("words"),
             F.count(F.lit(1)).alias("units"), F.min("first_id").alias("first_id"),
+            F.sum(F.when(F.col("words") >= COUNTED, F.col("words")).otherwise(0)).alias("counted"),
         )
-        .where(F.col("words") >= least_words)
-        .drop("stretch")
+        .where(F.col("counted") >= least_words)
+        .drop("stretch", "counted")
         .withColumnRenamed("id", id_col)
     )
 

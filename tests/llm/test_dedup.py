@@ -142,7 +142,7 @@ def brute_spans(rows, least):
             run = [marked[number]]
             while number + len(run) in marked:
                 run.append(marked[number + len(run)])
-            if sum(n for n, *_ in run) >= least:
+            if sum(n for n, *_ in run if n >= substring_dedup.COUNTED) >= least:
                 spans.add((doc, run[0][1], run[-1][2], sum(n for n, *_ in run), len(run)))
     return spans
 
@@ -151,7 +151,7 @@ def test_spans_equal_brute_force(docs):
     passage = "It was a long day. The rain fell, and nobody came.\nSo they went home again! Nothing else was said"
     rows = [
         (4, f"Own words here. {passage}. And more of it."), (2, f"glued {passage}"), (9, passage.upper() + "."), (3, "Unique text only."),
-        (5, "Same line again.\n" * 8), (6, None), (7, ""), (8, "... \n\n!!"), (None, passage), (1, "Licensed freely."), (11, "Licensed freely."),
+        (5, "Same line once again.\n" * 8), (12, "OH!! NO!! " * 90), (6, None), (7, ""), (8, "... \n\n!!"), (None, passage), (1, "Licensed freely."), (11, "Licensed freely."),
     ]
     for least in (1, 10):
         found = substring_dedup.repeated_spans(docs(*rows), least).collect()
