@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graspmeter import constants as K
@@ -131,6 +131,8 @@ def session_scores(answers: DataFrame) -> DataFrame:
 # answers does is a table of 20 entries, and tables of consecutive runs compose. A hot key is
 # cut into runs that are folded in parallel; only the 20-entry tables of a key meet.
 
+# Answers of a run at most.
+RUN_ROWS = 10_000
 _STREAKS = [(0, 0), (1, 0), (2, 0), (0, 1)]
 _LEVELS = K.MAX_LEVEL - K.MIN_LEVEL + 1
 
@@ -170,14 +172,16 @@ def run_tables(
 ) -> DataFrame:
     """Per key: number of answers and the tables of its runs, in order.
 
-    Rows are range-partitioned by key and order, so a run is never larger than one partition
-    whatever a key holds; a key has at most as many runs as there are partitions.
+    Rows are range-partitioned by key and order, and what a partition holds of a key is cut into
+    runs of at most ``RUN_ROWS`` answers, so no array grows with the data.
     """
     n = partitions or int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = answers.select(key, *order, "is_correct").repartitionByRange(n, key, *order)
+    in_part = Window.partitionBy(key, "part").orderBy(*order)
     runs = (
-        ranged.withColumn("run", F.spark_partition_id())
-        .groupBy(key, "run")
+        ranged.withColumn("part", F.spark_partition_id())
+        .withColumn("run", F.floor((F.row_number().over(in_part) - 1) / RUN_ROWS))
+        .groupBy(key, "part", "run")
         .agg(F.array_sort(F.collect_list(F.struct(*order, "is_correct"))).alias("steps"))
     )
     states = F.sequence(F.lit(0), F.lit(_LEVELS * len(_STREAKS) - 1))
@@ -190,10 +194,10 @@ def run_tables(
         ),
     )
     return (
-        runs.select(key, "run", F.size("steps").cast("bigint").alias("n"), table.alias("table"))
+        runs.select(key, "part", "run", F.size("steps").cast("bigint").alias("n"), table.alias("table"))
         .groupBy(key)
         .agg(
-            F.array_sort(F.collect_list(F.struct("run", "table"))).alias("tables"),
+            F.array_sort(F.collect_list(F.struct("part", "run", "table"))).alias("tables"),
             F.sum("n").alias("answered"),
         )
     )

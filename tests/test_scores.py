@@ -142,3 +142,14 @@ def test_code_context_is_clamped(spark):
     df = spark.createDataFrame([("\n".join(str(i) for i in range(1, 21)), 1, 2), ("1\n2\n3", 3, 3)], "c string, a int, b int")
     got = [r[0].split("\n") for r in df.select(chunks.code_with_context(F.col("c"), F.col("a"), F.col("b"))).collect()]
     assert got == [[str(i) for i in range(1, 8)], ["1", "2", "3"]]
+
+
+def test_long_runs_are_cut_and_compose(spark, monkeypatch):
+    rows = [("hot", i, i % 7 not in (2, 3, 5)) for i in range(500)] + [("cold", 1, True)]
+    log = spark.createDataFrame(rows, "user_id string, nth int, is_correct boolean")
+    whole = sorted(map(str, grading.adaptive_difficulty(log, "user_id", ["nth"], partitions=3).collect()))
+    monkeypatch.setattr(grading, "RUN_ROWS", 16)
+    tables = grading.run_tables(log, "user_id", ["nth"], partitions=3)
+    assert tables.where("user_id = 'hot'").head().answered == 500
+    assert len(tables.where("user_id = 'hot'").head().tables) >= 500 // 16
+    assert sorted(map(str, grading.adaptive_difficulty(log, "user_id", ["nth"], partitions=3).collect())) == whole
