@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graspmeter.session import configure, materialize
+from graspmeter.session import configure, work_dir
 
 #: The white space of the contracts: space and the controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,8 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
-    return materialize(df, name)
+    """``df`` as a table in the shared folder: cuts the lineage and survives lost executors.
+
+    Compressed with zstd, as the default codec's writers leave buffers outside the heap until a
+    collection, which adds up where many small files are written.
+    """
+    folder = work_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
