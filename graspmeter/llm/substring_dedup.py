@@ -2,9 +2,9 @@
 
 A unit is a line or, where a line has several sentences, each of them. Its words are
 lower-cased and joined by one space, and the digests are grouped globally. The document with
-the smallest id keeps the unit, there its first occurrence; all others are repeated. Stretches
-of repeated units that follow each other and have enough words are removed, and their original
-offsets are kept. The word limit leaves alone what texts share by custom, as a license line.
+the smallest id keeps the unit, there its first occurrence; all others are repeated. Every
+repeated unit is removed; those that follow each other make one stretch, and the original
+offsets of the stretches are kept. A caller can ask for stretches of more words only.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from pyspark.sql.window import Window
 
 from graspmeter.llm.common import written
 
-#: Words of a stretch that is removed, at least. A repeated passage often begins inside a
-#: sentence of its document, so the limit is lower than the passages of interest are long.
+#: Words of a stretch that is removed, at least: no limit. A repeated passage often begins and ends
+#: inside sentences of its document, so the whole units of a long passage can have few words.
 #: Units of fewer than ``COUNTED`` words belong to a stretch but don't count for the limit, as
 #: any two texts share them.
-LEAST_WORDS, COUNTED = 27, 4
+LEAST_WORDS, COUNTED = 1, 4
 UNIT = re.compile(r"[^\n.!?]+[.!?]*")
 WORD = re.compile(r"\w+")
 

@@ -162,3 +162,12 @@ def test_spans_equal_brute_force(docs):
     assert cut.count() == len(rows) + 1 and texts[3] == "Unique text only." and texts[6] is None
     assert "nobody came" in texts[2] and "nobody came" not in texts[4] and texts[4].startswith("Own words here.")
     assert substring_dedup.repeated_spans(docs().limit(0)).count() == 0
+
+
+def test_whole_units_of_a_cut_passage_are_removed(docs):
+    passage = "through the long valley. Two men were sitting by the cold river. They had seen nobody since the early spring. Then a boat"
+    rows = [(1, f"She walked {passage} came by."), (2, f"He once rode {passage} sank there.")]
+    found = substring_dedup.repeated_spans(docs(*rows)).collect()
+    assert [(r.doc_id, rows[1][1][r.begin : r.end], r.words, r.units) for r in found] == [
+        (2, " Two men were sitting by the cold river. They had seen nobody since the early spring.", 16, 2)
+    ]
