@@ -23,10 +23,10 @@ from graspmeter.llm.common import written
 
 #: Words of a stretch that is removed, at least: no limit. A repeated passage often begins and ends
 #: inside sentences of its document, so the whole units of a long passage can have few words.
-#: Units of fewer than ``COUNTED`` words belong to a stretch but don't count for the limit, as
-#: any two texts share them.
-LEAST_WORDS, COUNTED = 1, 4
-UNIT = re.compile(r"[^\n.!?]+[.!?]*")
+#: Units of ``COUNTED`` words or more count for a limit: all.
+LEAST_WORDS, COUNTED = 1, 1
+#: A point or question mark between letters or digits ends no sentence (decimals, addresses, code).
+UNIT = re.compile(r"[^\n.!?](?:[^\n.!?]|(?<=\w)[.?](?=\w))*[.!?]*")
 WORD = re.compile(r"\w+")
 
 
@@ -91,10 +91,9 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
         .agg(
             F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").alias("words"),
             F.count(F.lit(1)).alias("units"), F.min("first_id").alias("first_id"),
-            F.sum(F.when(F.col("words") >= COUNTED, F.col("words")).otherwise(0)).alias("counted"),
         )
-        .where(F.col("counted") >= least_words)
-        .drop("stretch", "counted")
+        .where(F.col("words") >= least_words)
+        .drop("stretch")
         .withColumnRenamed("id", id_col)
     )
 

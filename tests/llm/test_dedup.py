@@ -171,3 +171,14 @@ def test_whole_units_of_a_cut_passage_are_removed(docs):
     assert [(r.doc_id, rows[1][1][r.begin : r.end], r.words, r.units) for r in found] == [
         (2, " Two men were sitting by the cold river. They had seen nobody since the early spring.", 16, 2)
     ]
+
+
+def test_short_units_are_removed_and_count(docs):
+    rows = [
+        (1, "red\nblue sky\ngreen"), (2, "red\nblue sky\ngreen\nown end here"), (5, "Same line again.\n" * 8),
+        (6, "First 3.14 of www.some.org/a then."), (7, "Other 2.14 of www.some.net/a then."), (8, "Value 3.14 of www.some.org/a then."),
+    ]
+    for least, expected in ((1, {(2, 0, 18, 4, 3), (5, 17, 135, 21, 7)}), (4, {(2, 0, 18, 4, 3), (5, 17, 135, 21, 7)}), (5, {(5, 17, 135, 21, 7)})):
+        found = substring_dedup.repeated_spans(docs(*rows), least).collect()
+        assert {(r.doc_id, r.begin, r.end, r.words, r.units) for r in found} == expected
+    assert {r.doc_id for r in substring_dedup.repeated_spans(docs(*rows)).collect()} == {2, 5}
