@@ -42,7 +42,7 @@ def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
                     "host": [split_url(url)[0] for url in batch["url"]],
                     "skeleton": [page.skeleton for page in found],
                     "hashes": [[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in page.everything] for page in found],
-                    "texts": [page.texts for page in found],
+                    "texts": [[t if t is not None else a for t, a in zip(page.texts, page.around)] for page in found],
                 }
             )
 

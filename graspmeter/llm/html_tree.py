@@ -49,10 +49,14 @@ class Node:
 
 @dataclass
 class Page:
-    """``skeleton``: a line ``depth label`` for each block, ``depth #`` for each text. ``texts``: content, else None."""
+    """``skeleton``: a line ``depth label`` for each block, ``depth #`` for each text.
+
+    ``texts``: content of the page's highest zone, else None. ``around``: content of the other zones, else None.
+    """
 
     skeleton: str
     texts: list[str | None]
+    around: list[str | None]
     everything: list[str]
 
 
@@ -146,7 +150,9 @@ def parse(source: str | None) -> Page:
     while stack:
         flush()
         stack.pop()
-    content = [not node.apart and not only_links for node, _, only_links in texts]
+    # Links alone are a menu outside the zones; inside they are content, such as references.
+    content = [not node.apart and (node.zone > 0 or not only_links) for node, _, only_links in texts]
     zone = max((node.zone for (node, *_), good in zip(texts, content) if good), default=0)
-    kept = [text if good and node.zone == zone else None for (node, text, _), good in zip(texts, content)]
-    return Page("\n".join(lines), kept, [text for _, text, _ in texts])
+    inner = [text if good and node.zone == zone else None for (node, text, _), good in zip(texts, content)]
+    around = [text if good and node.zone != zone else None for (node, text, _), good in zip(texts, content)]
+    return Page("\n".join(lines), inner, around, [text for _, text, _ in texts])

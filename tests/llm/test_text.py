@@ -129,3 +129,16 @@ def test_pipeline_takes_each_stage(spark, sf):
             docs = left
     assert seen == sorted(seen, reverse=True) and seen[1] < seen[0] and seen[2] < seen[1]
     assert sorted(map(str, left.collect())) == sorted(map(str, corpus_pipeline.run(spark, sf).collect()))
+
+
+def test_text_around_an_article_and_lists_of_links_are_content(spark):
+    links = "<ul><li><a href=r>Reference</a></ul><table><tr><td><a href=c>Cell</a></table>"
+    sources = [
+        f"<article><p>Story</p>{links}</article>", "<main><h1>Title</h1><p>Lead</p><article><p>Story</p></article></main>",
+        "<div><article><p>Teaser</p></article></div><main><p>Long text</p></main><div>More</div>", "<ul><li><a href=m>Menu</a></ul><p>Story</p>",
+    ]
+    rows = [(n, f"http://h{n}.org/", source) for n, source in enumerate(sources)]
+    found = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text.split("\n\n") for r in found} == {
+        0: ["Story", "Reference", "Cell"], 1: ["Title", "Lead", "Story"], 2: ["Teaser", "Long text", "More"], 3: ["Story"],
+    }
