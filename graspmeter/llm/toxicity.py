@@ -16,8 +16,8 @@ from graspmeter.llm.common import held_out
 
 #: Words of a window, and how far the next one begins.
 WINDOW, STRIDE = 48, 32
-#: Toxic documents (twice as many others), and windows of each, that training takes at most.
-SAMPLE, SAMPLE_WINDOWS = 1_500, 8
+#: Toxic documents (twice as many others) that training takes at most, with all their windows.
+SAMPLE = 1_500
 #: Passes over the sample, and how many of them take all of its windows.
 PASSES, FREE_PASSES = 10, 2
 #: Steps that a pass has at least; a small sample is gone through several times for that.
@@ -107,27 +107,36 @@ class Scorer:
         np.maximum.at(best, np.concatenate(owners), found)
 
 
-def sample_windows(docs: DataFrame, labels: DataFrame, sample: int, label_col: str) -> pd.DataFrame:
-    """Windows of a bounded sample of labelled documents that are not held out, both chosen by hash."""
+def sample_texts(docs: DataFrame, labels: DataFrame, sample: int, label_col: str) -> pd.DataFrame:
+    """The plain words of a bounded sample of labelled documents that are not held out, chosen by hash."""
     known = labels.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(2 * sample)
     chosen = chosen.unionByName(known.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(sample))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for number, label, text in zip(batch["id"], batch["label"], batch["text"]):
-                words = [word for part in pieces(text) for word in part]
-                starts = window_starts(len(words))
-                some = np.random.default_rng(len(words)).permutation(starts)[:SAMPLE_WINDOWS]
-                rows += [(str(number), int(label), [gru.plain(w) for w in words[s : s + WINDOW]]) for s in sorted(some)]
-            yield pd.DataFrame(rows, columns=["id", "label", "words"])
-
-    found = docs.join(F.broadcast(chosen), "id").mapInPandas(run, "id string, label int, words array<string>")
-    frame = found.toPandas()
-    frame["key"] = [" ".join(words) for words in frame["words"]]
+            words = [" ".join(gru.plain(word) for part in pieces(text) for word in part) for text in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"].astype(str), "label": batch["label"], "words": words})
+
+    frame = docs.join(F.broadcast(chosen), "id").mapInPandas(run, "id string, label int, words string").toPandas()
     # Repeated rows teach nothing new, and the order must not depend on the tasks.
-    return frame.drop_duplicates(["id", "key"]).sort_values(["id", "key"]).reset_index(drop=True)
+    return frame.drop_duplicates(["id", "words"]).sort_values(["id", "words"]).reset_index(drop=True)
+
+
+def training_windows(frame: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words met, all windows of the texts as places in that list (-1 behind the end), and the row of each window.
+
+    Windows that a text repeats are taken once.
+    """
+    places: dict[str, int] = {"": 0}
+    found, owners = [], []
+    for row, text in enumerate(frame["words"]):
+        words = np.array([places.setdefault(w, len(places)) for w in text.split(" ")] if text else [], np.int64)
+        starts = window_starts(len(words))
+        words = np.pad(words, (0, max(0, WINDOW - len(words))), constant_values=-1)
+        found.append(np.unique(words[starts[:, None] + np.arange(WINDOW)], axis=0))
+        owners.append(np.full(len(found[-1]), row))
+    return list(places), np.concatenate(found or [np.zeros((0, WINDOW), np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
 
 
 def fit(frame: pd.DataFrame) -> Model:
@@ -137,20 +146,17 @@ def fit(frame: pd.DataFrame) -> Model:
     a toxic word, so later passes take of them the windows that score high, the highest at
     least; of the others they take those that score high by mistake and a share of the rest.
     """
-    rows = gru.common_features([set().union(*words) for _, words in frame.groupby("id")["words"]])
+    rows = gru.common_features([set(" ".join(words).split(" ")) for _, words in frame.groupby("id")["words"]])
     params = gru.fresh(rows)
-    labels = frame["label"].to_numpy(np.float32)
-    if len(set(labels.tolist())) < 2:
+    if frame["label"].nunique() < 2:
         return Model(rows, params)
-    places: dict[str, int] = {"": 0}
-    ids = np.zeros((WINDOW, len(frame)), np.int64)
-    mask = np.zeros((WINDOW, len(frame)), np.float32)
-    for column, words in enumerate(frame["words"]):
-        ids[: len(words), column] = [places.setdefault(w, len(places)) for w in words]
-        mask[: len(words), column] = 1
-    lexical = gru.lexicon(rows, list(places))
+    words, windows, owners = training_windows(frame)
+    labels, names = frame["label"].to_numpy(np.float32)[owners], frame["id"].to_numpy()[owners]
+    mask = np.ascontiguousarray((windows >= 0).T.astype(np.float32))
+    ids = np.ascontiguousarray(np.maximum(windows, 0).T)
+    lexical = gru.lexicon(rows, words)
     adam, rng = gru.Adam(params, rate=0.01), np.random.default_rng(11)
-    used = np.arange(len(frame))
+    used = np.arange(len(owners))
     for number in range(PASSES):
         if number == FREE_PASSES:
             params, first = gru.fresh(rows), params
@@ -158,8 +164,8 @@ def fit(frame: pd.DataFrame) -> Model:
         if number >= FREE_PASSES:
             judge = first if number < FREE_PASSES + 2 else params
             table = gru.gate_inputs(judge, gru.vectors_of(judge, lexical))
-            score = np.concatenate([gru.logits(judge, table, ids[:, s : s + CHUNK], mask[:, s : s + CHUNK]) for s in range(0, len(frame), CHUNK)])
-            place = pd.Series(score).groupby(frame["id"]).rank(method="first", ascending=False).to_numpy()
+            score = np.concatenate([gru.logits(judge, table, ids[:, s : s + CHUNK], mask[:, s : s + CHUNK]) for s in range(0, len(owners), CHUNK)])
+            place = pd.Series(score).groupby(names).rank(method="first", ascending=False).to_numpy()
             toxic = (labels == 1) & ((place <= 1) | ((score >= 0) & (judge is params)))
             clean = (labels == 0) & ((score >= -4) | (rng.random(len(score)) < 0.25))
             used = np.flatnonzero(toxic | clean)
@@ -181,7 +187,7 @@ def score_toxicity(
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample_windows(texts, known, sample, label_col)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(sample_texts(texts, known, sample, label_col)))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

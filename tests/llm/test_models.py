@@ -103,3 +103,12 @@ def test_score_is_the_worst_window():
     words = [f"w{i}" for i in range(30)] + ["idiot"] + [f"v{i}" for i in range(100)]
     alone = [scorer.score([" ".join(words[s : s + 48])])[0] for s in toxicity.window_starts(len(words))]
     assert scorer.score(["  ".join(words), None])[0] == pytest.approx(max(alone), abs=1e-6)
+
+
+def test_training_takes_all_windows():
+    long = [f"w{i}" for i in range(2000)]
+    frame = pd.DataFrame({"id": ["a", "b", "c"], "label": [1, 0, 0], "words": [" ".join(long), "", "x y"]})
+    words, windows, owners = toxicity.training_windows(frame)
+    assert list(np.bincount(owners)) == [len(toxicity.window_starts(2000)), 1, 1]
+    assert {words[i] for i in windows[owners == 0].ravel()} == set(long)
+    assert (windows[owners == 1] == -1).all() and (windows[owners == 2] >= 0).sum() == 2
