@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graspmeter.llm.common import table
 from graspmeter.llm.decontam import contaminated
 from graspmeter.llm.exact_dedup import exact_groups
+from graspmeter.llm.fill_middle import fill_in_middle, restored
 from graspmeter.llm.html_extract import main_texts
+from graspmeter.llm.importance import importance_ranks
 from graspmeter.llm.mixing import mix
 from graspmeter.llm.quality import score_quality
 from graspmeter.llm.simhash_dedup import near_groups
@@ -66,6 +69,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20)
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
 OP4_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest
@@ -98,6 +111,28 @@ WITH digests AS (
 SELECT doc_id, coalesce(keep_id, doc_id) AS keep_id, group_size, kept, text_sha256 FROM ranked
 """
 
+OP11_SQL = """
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT doc_id, text, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+    CASE WHEN text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90
+      THEN 'plain' WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM hashed
+), cut AS (
+  SELECT *, least(a, b) AS first, abs(a - b) AS middle, substr(text, 1, least(a, b)) AS prefix,
+    substr(text, least(a, b) + 1, abs(a - b)) AS inner, substr(text, greatest(a, b) + 1) AS suffix
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN first END AS prefix_chars, CASE WHEN form <> 'plain' THEN middle END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || inner
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || inner ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+"""
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
@@ -109,9 +144,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_fill_middle": op11_fill_middle,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES = {
     "op4_url_filters": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op11_fill_middle": OP11_SQL,
 }
