@@ -189,3 +189,31 @@ def render(template: str | Column, fields: Column) -> Column:
         ),
         "",
     )
+
+
+#: Numbers that are summed up in one run.
+_RUN = 512
+
+
+def running_sums(values: Column) -> Column:
+    """Prefix sums of an integer array: of runs first, then of the runs' sums, as growing an array copies it."""
+
+    def grown(items: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + x)).alias("all"))
+
+        return F.aggregate(items, start, step, lambda acc: acc["all"])
+
+    runs_before_last = F.greatest(F.ceil(F.size(values) / _RUN).cast("int") - 1, F.lit(0))
+    runs = F.transform(F.sequence(F.lit(0), runs_before_last), lambda k: grown(F.slice(values, k * _RUN + 1, F.lit(_RUN))))
+
+    def shifted(run: Column, by: Column) -> Column:
+        return F.transform(run, lambda x: x + by)
+
+    def joined(parts: Column) -> Column:
+        upto = grown(F.transform(parts, lambda run: F.coalesce(F.get(run, F.size(run) - 1), F.lit(0))))
+        return let(upto, lambda sums: F.flatten(F.transform(parts, lambda run, k: shifted(run, F.coalesce(F.get(sums, k - 1), F.lit(0))))))
+
+    return F.when(F.size(values) <= _RUN, grown(values)).otherwise(let(runs, joined))
