@@ -14,6 +14,7 @@ from graspmeter.llm.html_extract import main_texts
 from graspmeter.llm.importance import importance_ranks
 from graspmeter.llm.mixing import mix
 from graspmeter.llm.quality import score_quality
+from graspmeter.llm.sanitise import KINDS, listed, personal_spans
 from graspmeter.llm.simhash_dedup import near_groups
 from graspmeter.llm.substring_dedup import repeated_spans
 from graspmeter.llm.token_counts import count_tokens
@@ -75,6 +76,14 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    base, added = listed("base"), listed("added")
+    both = F.concat_ws(",", F.when(base != "", base), F.when(added != "", added))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), both.alias("spans"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
 
@@ -122,13 +131,13 @@ WITH hashed AS (
       THEN 'plain' WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
   FROM hashed
 ), cut AS (
-  SELECT *, least(a, b) AS first, abs(a - b) AS middle, substr(text, 1, least(a, b)) AS prefix,
-    substr(text, least(a, b) + 1, abs(a - b)) AS inner, substr(text, greatest(a, b) + 1) AS suffix
+  SELECT *, least(a, b) AS n_prefix, abs(a - b) AS n_middle, substr(text, 1, least(a, b)) AS p,
+    substr(text, least(a, b) + 1, abs(a - b)) AS m, substr(text, greatest(a, b) + 1) AS s
   FROM drawn
 )
-SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN first END AS prefix_chars, CASE WHEN form <> 'plain' THEN middle END AS middle_chars,
-  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || inner
-    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || inner ELSE text END) AS output_sha256,
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN n_prefix END AS prefix_chars, CASE WHEN form <> 'plain' THEN n_middle END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
   sha256(text) AS restored_sha256
 FROM cut
 """
@@ -145,6 +154,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_extraction": op10_html_extraction,
     "op11_fill_middle": op11_fill_middle,
+    "op12_pii": op12_pii,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
