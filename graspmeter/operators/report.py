@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graspmeter import constants as K
 from graspmeter.functions.scores import band, n_right, percent
 from graspmeter.operators.grading import answer_key, graded_columns
+from graspmeter.operators.pools import fresh_pools
+from graspmeter.session import materialize
 
 
 def progress_timeline(sessions: DataFrame, scores: DataFrame) -> DataFrame:
@@ -117,6 +119,52 @@ def learning_path(
     return kept.select("priority", "file", "start_line", "end_line", "concept", "why_it_matters")
 
 
+def learning_paths(
+    wrong: DataFrame, questions: DataFrame, critical: DataFrame, user_scores: DataFrame, users: DataFrame, order: list[Column], n: int = K.LEARNING_ITEMS
+) -> DataFrame:
+    """The learning path of every user: ``user_id, priority, file, start_line, end_line, concept, why_it_matters``.
+
+    As ``learning_path``, by user: the newest wrong answers by place, then danger zones by the
+    user's own scores, and without either the user's files of the lowest scores. ``wrong`` and
+    ``user_scores`` (``user_id, file, score``) have rows of users; ``critical`` is as for the
+    zones, a row a file. A risky file that a user has no score of counts with 0, so nearly all
+    risky files are zones of nearly all users: the first of them follow from the gaps between
+    those that the user has a score of (``pools``), not from a product.
+    """
+    item = ["user_id", "branch", "rank", "file", "start_line", "end_line", "concept", "why_it_matters"]
+    newest = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    places = wrong.groupBy("user_id", "file", "start_line").agg(F.min_by(F.struct("question_id", "selected_label"), newest).alias("x"), F.min(newest).alias("o"))
+    first = places.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("o"))).where(F.col("rank") <= n)
+    concept = F.concat(F.replace("category", F.lit("-"), F.lit(" ")), F.lit(" — "), F.substring("question", 1, 60), F.lit("…"))
+    from_answers = answer_key(questions).join(first.select("user_id", "rank", "x.*"), "question_id").select(
+        "user_id", F.lit(0).alias("branch"), "rank", "file", "start_line", "end_line", concept.alias("concept"),
+        graded_columns()["feedback"].alias("why_it_matters"),
+    )
+
+    risky = critical.where(F.col("risk_level") >= K.DANGER_RISK).select("file", "category", "risk_level")
+    known = user_scores.select("user_id", "file", "score").join(risky.select("file"), "file", "left_semi")
+    by_risk = [F.desc("risk_level"), F.asc("question_id")]
+    unknown = fresh_pools(risky.withColumnRenamed("file", "question_id"), known.select("user_id", F.col("file").alias("question_id")), users, n, by_risk)
+    unknown = unknown.where("fresh").select("user_id", F.col("question_id").alias("file"), F.lit(0).alias("score"))
+    zones = known.where(F.col("score") <= K.DANGER_SCORE).select("user_id", "file", "score").unionByName(unknown).join(risky, "file")
+    danger = F.col("risk_level") * (1 - F.col("score") / 100)
+    zones = zones.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(danger.desc(), "file"))).where(F.col("rank") <= n)
+    risk = F.concat(F.lit("Risk level "), F.col("risk_level").cast("string"), F.lit("/5 — understanding score "), F.col("score").cast("string"), F.lit("%"))
+    none = F.lit(0)
+    from_zones = zones.select("user_id", F.lit(1).alias("branch"), "rank", "file", none.alias("start_line"), none.alias("end_line"), F.col("category").alias("concept"), risk.alias("why_it_matters"))
+
+    main = materialize(from_answers.select(*item).unionByName(from_zones.select(*item)), "items")
+    lowest = user_scores.join(users.select("user_id").distinct(), "user_id", "left_semi").join(main.select("user_id").distinct(), "user_id", "left_anti")
+    lowest = lowest.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("score", "file"))).where(F.col("rank") <= K.LEARNING_FALLBACK)
+    review = F.concat(F.lit("Review: "), F.col("file"), F.lit(" ("), F.col("score").cast("string"), F.lit("% understood)"))
+    advice = F.when(F.col("score") >= 80, "Strong score but worth revisiting to maintain mastery.").otherwise("Scored below 80% — review and retake quiz.")
+    one = F.lit(1)
+    from_scores = lowest.select("user_id", F.lit(2).alias("branch"), "rank", "file", one.alias("start_line"), one.alias("end_line"), review.alias("concept"), advice.alias("why_it_matters"))
+    priority = F.row_number().over(Window.partitionBy("user_id").orderBy("branch", "rank"))
+    ordered = main.unionByName(from_scores.select(*item)).withColumn("priority", priority).where(F.col("priority") <= n)
+    return ordered.select("user_id", "priority", *item[3:])
+
+
 def score_bands(scores: DataFrame) -> DataFrame:
     """Score of each file in the three scales in use: report, file colour and quiz."""
     s = F.col("score")
@@ -214,6 +262,34 @@ def team_compare(exports: DataFrame) -> DataFrame:
     )
 
 
+def team_categories(exports: DataFrame, most: int = 50) -> list[str]:
+    """The categories that occur, in order; more than ``most`` are an error, as each is two columns of the matrix."""
+    found = exports.select(F.explode("category_scores.category").alias("c")).where("c is not null").distinct().orderBy("c").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} categories: name those that are wanted")
+    return [row.c for row in found]
+
+
+def team_matrix(exports: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """A row for each export with score and rank of every category as columns ``<category>_score`` and ``_rank``.
+
+    ``exports`` has ``export_id, exported_by, overall_score, category_scores``. The best score of
+    a category has rank 1, equal scores share a rank and the ranks behind them are left out. An
+    export without a category has nulls there. A rank follows from the numbers of exports by
+    category and score, a hundred rows a category, so no category is sorted as a whole.
+    """
+    wanted = team_categories(exports) if categories is None else categories
+    name = F.when(F.coalesce("exported_by", F.lit("")) == "", "Teammate").otherwise(F.col("exported_by"))
+    rows = exports.select("export_id", F.inline("category_scores")).where(F.col("category").isin(wanted) & F.col("score").isNotNull())
+    rows = rows.groupBy("export_id", "category").agg(F.max("score").alias("score"))
+    better = Window.partitionBy("category").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("category", "score").agg(F.count(F.lit(1)).alias("n"))
+    ranks = counts.select("category", "score", (F.coalesce(F.sum("n").over(better), F.lit(0)) + 1).cast("int").alias("rank"))
+    placed = rows.join(ranks, ["category", "score"]).groupBy("export_id").pivot("category", wanted)
+    matrix = placed.agg(F.first("score").alias("score"), F.first("rank").alias("rank")) if wanted else rows.select("export_id").distinct()
+    return exports.select("export_id", name.alias("name"), "overall_score").join(matrix, "export_id", "left")
+
+
 def audit_lookup(paths: DataFrame, scores: DataFrame, now: Column) -> DataFrame:
     """Score of each given path (absolute or relative), or that it was not audited yet.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from graspmeter.plans import catalog_code, catalog_corpus, catalog_scores, catalog_text
+from graspmeter.plans import catalog_code, catalog_corpus, catalog_scale, catalog_scores, catalog_text
 from graspmeter.session import configure
 
 QUERIES = {}
@@ -19,6 +19,6 @@ def _configured(fn):
     return run
 
 
-for _part in (catalog_corpus, catalog_code, catalog_scores, catalog_text):
+for _part in (catalog_corpus, catalog_code, catalog_scores, catalog_text, catalog_scale):
     QUERIES.update({name: _configured(fn) for name, fn in _part.QUERIES.items()})
     ORACLES.update(_part.ORACLES)

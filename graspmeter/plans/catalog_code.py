@@ -426,7 +426,7 @@ def _template_sql(texts: dict, part: str) -> str:
         "callee": _EVIDENCE["MISSING_ERROR_HANDLING"][1],
         "parameter": _EVIDENCE["UNCHECKED_PARAMETER"][1], "secret_type": "'api_key'", "partial_value": "'abcd...'",
         "variable": "'user_input'", "types": "'null, value'",
-        "reason_line_1": "CAST(line AS VARCHAR)",
+        "reason_line_1": "CAST(line AS VARCHAR)", "reason": "'return statement'", "catch_line_1": "'4'", "line_text": "'const r = db.query(1);'",
     }
     cases = []
     for rule in RULES:
@@ -439,6 +439,8 @@ def _template_sql(texts: dict, part: str) -> str:
                 value = values.get(piece, "'db.query'")
                 if piece == "async_call":
                     value = "'db.find(1)'" if rule == "UNHANDLED_ASYNC" else "'db.query'"
+                if piece == "variable" and rule == "HARDCODED_SECRET":
+                    value = "'api_key'"
                 pieces.append(value)
             elif piece:
                 pieces.append(_lit(piece))
@@ -496,20 +498,21 @@ def b4_render_templates_v1(spark, sf_dir):
     return _bank(spark, sf_dir, "fix")
 
 
-# Two kinds of finding are given another name or none, to meet the fallback and the rejects.
+# Findings of all rules are given the name of a rule without templates, some lack it or the function.
 @query("b5_fallback_template", _with(_FINDING_FACTS, _BASE, _BOTH) + f"""
 SELECT concat('RACE_CONDITION_RISK-', {_FILE}, '-', line) AS id,
-       concat('In function "f_', n, '" (', path, ':', line + 1, '): Parameter `', {_EVIDENCE['UNCHECKED_PARAMETER'][1]},
-              '` is used without a null/undefined check. What is the impact of this issue?') AS question, '' AS missing_field
-FROM b CROSS JOIN v WHERE type = 'UNCHECKED_PARAMETER'
-UNION ALL SELECT '', '', 'func_name' FROM b WHERE type = 'MISSING_AWAIT'""")
+       concat('In function "f_', n, '" (', path, ':', line + 1, '): ', {_template_sql(RULES, 'description')}, ' What is the impact of this issue?') AS question,
+       '' AS missing_field
+FROM b CROSS JOIN v WHERE n % 5 <> 0 AND n % 7 <> 0
+UNION ALL SELECT '', '', CASE WHEN n % 7 = 0 THEN 'type' ELSE 'func_name' END FROM b WHERE n % 5 = 0 OR n % 7 = 0""")
 def b5_fallback_template(spark, sf_dir):
-    found = detectors.describe(_findings(spark, sf_dir)).where(
-        F.col("type").isin("UNCHECKED_PARAMETER", "MISSING_AWAIT")
+    n = F.col("file_id").cast("bigint")
+    odd = detectors.describe(_findings(spark, sf_dir)).withColumns(
+        {
+            "type": F.when(n % 7 == 0, "").otherwise("RACE_CONDITION_RISK"),
+            "func_name": F.when(n % 5 == 0, "").otherwise(F.col("func_name")),
+        }
     )
-    odd = found.withColumn(
-        "func_name", F.when(F.col("type") == "MISSING_AWAIT", "").otherwise(F.col("func_name"))
-    ).withColumn("type", F.when(F.col("type") == "UNCHECKED_PARAMETER", "RACE_CONDITION_RISK").otherwise(F.col("type")))
     good = questions.render_questions(odd).select("id", "question", F.lit("").alias("missing_field"))
     bad = questions.rejected_findings(odd).select(F.lit("").alias("id"), F.lit("").alias("question"), "missing_field")
     return good.unionByName(bad)

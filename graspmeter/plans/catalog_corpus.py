@@ -11,7 +11,7 @@ from graspmeter.operators import classify, imports, metrics
 from graspmeter.plans import driver_tables as D
 from graspmeter.session import work_dir
 from graspmeter.sources import corpus, exports, manifests, state
-from graspmeter.streaming import answers as stream
+from graspmeter.sources.buckets import upsert_stream
 
 QUERIES = {}
 ORACLES = {}
@@ -292,12 +292,11 @@ def s13_upsert_session(spark, sf_dir):
 @query("s13_upsert_stream", """
 SELECT user_id AS session_id, max(event_id) AS version, arg_max(event_type, event_id) AS last_event FROM events GROUP BY user_id""")
 def s13_upsert_stream(spark, sf_dir):
-    """Saved rows as a stream of changes: the newest event of each user stays."""
-    raw = stream.answer_stream(spark, sf_dir, D.table(spark, sf_dir, "events").schema, "events.parquet")
-    changes = raw.select(
+    """Saved rows as a stream of changes: the newest event of each user stays, over ten micro-batches."""
+    changes = D.event_periods(spark, sf_dir, 10).select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("version"), F.col("event_type").alias("last_event")
     )
-    return stream.upsert_stream(changes, "session_id", "version")
+    return upsert_stream(changes, work_dir(spark, "sessions"), "session_id", "version", buckets=16).read()
 
 
 @query("s14_mark_shown", "SELECT DISTINCT l_partkey AS question_id FROM lineitem UNION SELECT p_partkey FROM part WHERE p_size < 10")

@@ -217,6 +217,35 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_periods(spark: SparkSession, sf_dir: str, periods: int, late: int = 0) -> DataFrame:
+    """Events as a stream of several files in time order, a micro-batch each.
+
+    Each file is written by its own job, as a file source takes them by the time they were
+    written. With ``late`` a last file brings the oldest events once more under new ids.
+    """
+    from graspmeter.session import work_dir
+    from graspmeter.streaming.answers import answer_stream
+
+    events, folder = table(spark, sf_dir, "events"), work_dir(spark, "periods")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = events.agg(F.percentile_approx(us, [i / periods for i in range(1, periods)])).first()[0] or []
+    for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
+        part = events if low is None else events.where(us >= low)
+        (part if high is None else part.where(us < high)).coalesce(1).write.parquet(f"{folder}/part={i}")
+    if late:
+        oldest = events.orderBy("ts", "event_id").limit(late).withColumn("event_id", F.col("event_id") + 1_000_000_000)
+        oldest.coalesce(1).write.parquet(f"{folder}/part={periods}")
+    raw = answer_stream(spark, f"{folder}/part=*", events.schema, files_per_trigger=1)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def period_answers(spark: SparkSession, sf_dir: str, periods: int, late: int = 0) -> DataFrame:
+    """Those events as answers."""
+    return event_periods(spark, sf_dir, periods, late).select(
+        F.col("event_id").alias("answer_id"), "user_id", "ts", (F.col("event_type") != "error").alias("is_correct")
+    )
+
+
 def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Documents as files: text content under a path made from source and id; ``more`` columns stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", *more)

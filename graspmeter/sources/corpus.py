@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Collection
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +61,52 @@ def select_files(listing: DataFrame, root: Column | str, limit: int | None = Non
     return out.orderBy("path").limit(limit) if limit else out
 
 
-_GLOB = "*.{[tT][sS],[tT][sS][xX],[jJ][sS],[jJ][sS][xX],[pP][yY]}"
+#: An entry of a listing as text.
+_ENTRY = re.compile(r"path=(.*?); isDirectory=(true|false)(?:; length=(\d+))?")
+
+
+def list_tree(spark: SparkSession, root: str, endings: Collection[str] = tuple(K.LANGUAGE_BY_EXTENSION)) -> tuple[list[tuple[str, int]], list[str]]:
+    """Path and length of every file with one of the endings below ``root``, and the folders that were listed.
+
+    Skipped folders are not entered, so what lies in them is neither listed nor read. Folders
+    that can't be listed are passed over. Folder by folder on the driver, which holds a path
+    for each file, as any file source of Spark does.
+    """
+    jvm = spark.sparkContext._jvm
+    path_of, text_of = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.lang3.ArrayUtils
+    start = path_of(root)
+    store = start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, listed, waiting = [], [], [store.makeQualified(start).toString()]
+    while waiting:
+        folder = waiting.pop()
+        try:
+            # One text for all entries, instead of three calls for each.
+            entries = text_of.toString(store.listStatus(path_of(folder)))
+        except Py4JJavaError:
+            continue
+        listed.append(folder)
+        for path, is_folder, length in _ENTRY.findall(entries):
+            name = path.rsplit("/", 1)[-1]
+            if is_folder == "false":
+                if re.search(r"[^.]\.[^.]*$", name) and "." + name.rsplit(".", 1)[-1].lower() in endings:
+                    files.append((path, int(length)))
+            elif name not in K.SKIPPED_DIRS and not name.startswith("."):
+                waiting.append(path)
+    return sorted(files), sorted(listed)
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Path and cleaned text of the named files; Spark packs them into partitions by their lengths.
+
+    Files that vanish or cannot be read are skipped, and broken UTF-8 gives replacement characters.
+    """
+    # A path is taken for a pattern unless its signs are escaped.
+    exact = [re.sub(r"([{}\[\]*?\\])", r"\\\1", path) for path in paths]
+    if not exact:
+        return spark.createDataFrame([], "path string, content string")
+    raw = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(exact)
+    text = clean_text(F.make_valid_utf8(F.col("content").cast("string")))
+    return raw.select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), text.alias("content"))
 
 
 def read_tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -81,10 +130,12 @@ def read_tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
 def scan_corpus(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
     """Read a source tree: one row per supported file with its text and line count.
 
+    Skipped folders are not entered, and only files of the languages are opened.
     Land the result once as a table: many small files are slow to read again.
     """
     below = root[len("file:") :] if root.startswith("file:") else root
-    files = select_files(read_tree(spark, root, _GLOB), below, limit)
+    found, _ = list_tree(spark, root)
+    files = select_files(read_files(spark, [path for path, _ in found]), below, limit)
     return files.select(
         F.col("path").alias("file_id"), "path", "relative_path", "language", "content"
     ).withColumn("line_count", line_count(F.col("content")))
