@@ -1,25 +1,26 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as its own embedding next to the mean embeddings of its first and of its
-last characters. Sequences have a fixed length; ``mask`` is 1 where they have a word.
+A word enters as its own embedding next to the mean embeddings of its beginnings, of its
+endings and of the runs of characters in it, and two numbers that are not trained: how far its
+features lean most to one label and to the other. Sequences have a fixed length; ``mask`` is 1
+where they have a word.
 """
 
 from __future__ import annotations
 
 import string
-from collections import Counter
 
 import numpy as np
 
 SIGNS = string.punctuation + "«»„“”‘’…–—¿¡"
-#: Sizes of the three parts of a word's vector, and of the hidden state.
-PARTS = {"word": 10, "head": 8, "tail": 6}
-INPUT, HIDDEN = sum(PARTS.values()), 8
+#: Sizes of the parts of a word's vector that are trained, of all of it, and of the hidden state.
+PARTS = {"word": 10, "head": 8, "tail": 6, "inner": 6}
+INPUT, HIDDEN = sum(PARTS.values()) + 2, 8
 GATES = 3 * HIDDEN
-#: Character inputs: the first and the last letters of a word, so many of them.
+#: Character inputs: the first and the last letters of a word, so many of them, and runs of ``RUN``
+#: characters from these places on.
 HEADS, TAILS = range(3, 9), range(3, 6)
-#: A feature must occur in this many texts of the sample; row 0 of a table stands for all others.
-LEAST_TEXTS, TEXTS_SHARE = 3, 1 / 150
+RUN, RUNS = 4, range(12)
 
 #: Sequences of a training step.
 BATCH = 128
@@ -34,32 +35,19 @@ def plain(word: str) -> str:
 
 
 def features(word: str) -> dict[str, list[str]]:
-    """What can be known of a word: itself, and its beginnings and endings."""
-    return {"word": [word], "head": [word[:n] for n in HEADS], "tail": [word[-n:] for n in TAILS]}
-
-
-def common_features(texts: list[set[str]]) -> Rows:
-    """Rows for the features that enough of the texts have; ``texts`` are sets of words."""
-    counts: dict[str, Counter[str]] = {part: Counter() for part in PARTS}
-    for words in texts:
-        found: dict[str, set[str]] = {part: set() for part in PARTS}
-        for word in words:
-            for part, names in features(word).items():
-                found[part].update(names)
-        for part in PARTS:
-            counts[part].update(found[part])
-    least = max(LEAST_TEXTS, len(texts) * TEXTS_SHARE)
-    return {part: {name: i + 1 for i, name in enumerate(sorted(n for n, c in counted.items() if c >= least))} for part, counted in counts.items()}
+    """What can be known of a word: itself, its beginnings and endings, and the runs in it (empty behind its end)."""
+    inner = [word[i : i + RUN] if i + RUN <= len(word) else "" for i in RUNS]
+    return {"word": [word], "head": [word[:n] for n in HEADS], "tail": [word[-n:] for n in TAILS], "inner": inner}
 
 
 def lexicon(rows: Rows, words: list[str]) -> dict[str, np.ndarray]:
     """Feature rows of the words, (words, features of the part); 0 where a feature is not known."""
-    word, head, tail = (rows[part].get for part in PARTS)
-    return {
-        "word": np.array([word(w, 0) for w in words], np.int64)[:, None],
-        "head": np.array([head(w[:n], 0) for w in words for n in HEADS], np.int64).reshape(len(words), -1),
-        "tail": np.array([tail(w[-n:], 0) for w in words for n in TAILS], np.int64).reshape(len(words), -1),
-    }
+    found: dict[str, list[list[int]]] = {part: [] for part in PARTS}
+    for word in words:
+        for part, names in features(word).items():
+            known = rows.get(part, {})
+            found[part].append([known.get(name, 0) for name in names])
+    return {part: np.array(lists, np.int64).reshape(len(words), -1) for part, lists in found.items()}
 
 
 def known_share(rows: np.ndarray) -> np.ndarray:
@@ -68,20 +56,29 @@ def known_share(rows: np.ndarray) -> np.ndarray:
     return known / np.maximum(known.sum(axis=1, keepdims=True), 1)
 
 
+def leanings_of(params: Params, lexical: dict[str, np.ndarray]) -> np.ndarray:
+    """For each word the most that one of its features leans to the label, and the most that one leans away from it."""
+    each = np.concatenate([params[f"{part} leaning"][r] for part, r in lexical.items()], axis=1)
+    return np.stack([each.max(axis=1), each.min(axis=1)], axis=1)
+
+
 def vectors_of(params: Params, lexical: dict[str, np.ndarray]) -> np.ndarray:
-    """For each word the mean embeddings of its known features, part by part."""
-    return np.concatenate([np.einsum("nk,nkd->nd", known_share(r), params[part][r]) for part, r in lexical.items()], axis=1, dtype=np.float32)
+    """For each word the mean embeddings of its known features, part by part, and how they lean."""
+    means = [np.einsum("nk,nkd->nd", known_share(r), params[part][r]) for part, r in lexical.items()]
+    return np.concatenate([*means, leanings_of(params, lexical)], axis=1, dtype=np.float32)
 
 
-def fresh(rows: Rows, seed: int = 7) -> Params:
+def fresh(rows: Rows, seed: int = 7, leaning: dict[str, np.ndarray] | None = None) -> Params:
+    """Parameters to begin with; ``leaning`` has a number for each feature, by row."""
     rng = np.random.default_rng(seed)
 
     def small(*shape: int, scale: float = 0.1) -> np.ndarray:
         return rng.normal(0, scale, shape).astype(np.float32)
 
-    tables = {part: small(len(rows[part]) + 1, size, scale=0.05) for part, size in PARTS.items()}
-    for table in tables.values():
-        table[0] = 0
+    tables = {part: small(len(rows.get(part, {})) + 1, size, scale=0.05) for part, size in PARTS.items()}
+    for part in PARTS:
+        tables[part][0] = 0
+        tables[f"{part} leaning"] = np.r_[np.float32(0), leaning[part]] if leaning else np.zeros(len(tables[part]), np.float32)
     return tables | {
         "input": small(2, INPUT, GATES, scale=0.3),
         "bias": np.zeros((2, GATES), np.float32),

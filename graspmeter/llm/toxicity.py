@@ -8,20 +8,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graspmeter.llm import gru
-from graspmeter.llm.common import held_out
+from graspmeter.llm.common import held_out, written
 
-#: Words of a window, and how far the next one begins.
-WINDOW, STRIDE = 48, 32
-#: Toxic documents (twice as many others) that training takes at most, with all their windows.
+#: Words of a window, and how far the next one begins: any passage of ``STRIDE`` words lies whole in some window.
+WINDOW, STRIDE = 48, 24
+#: Toxic documents (twice as many others) that training takes at most.
 SAMPLE = 1_500
-#: Passes over the sample, and how many of them take all of its windows.
-PASSES, FREE_PASSES = 10, 2
+#: Documents of the sample that must have a feature, at least, and features of a part at most: those that tell most.
+LEAST_TEXTS, FEATURES = 5, 3_000
+#: Variance that is added to a feature's own, which keeps rare ones small, and deviations that make a leaning of one.
+PRIOR, SPREAD = 2.0, 8.0
+#: Windows of a document that training takes: those of the highest scores, and some by chance.
+HIGHEST, CHANCE = 2, 2
+#: Passes over the windows that the features choose, and over those that the network chooses.
+PASSES = (5, 5)
 #: Steps that a pass has at least; a small sample is gone through several times for that.
-LEAST_STEPS = 80
+LEAST_STEPS = 60
 #: Words that a worker remembers, windows that it scores at once, characters it splits at once.
 CACHE, CHUNK, PIECE = 200_000, 2_048, 1 << 20
 SPACE = re.compile(r"\s")
@@ -48,6 +55,7 @@ def window_starts(words: int) -> np.ndarray:
 class Model:
     rows: gru.Rows
     params: gru.Params
+    trained: bool = False
 
 
 class Scorer:
@@ -69,15 +77,16 @@ class Scorer:
             start, end = len(self.places), len(self.places) + len(unknown)
             if end > self.table.shape[1]:
                 self.table = np.concatenate([self.table, np.zeros((2, end, gru.GATES), np.float32)], axis=1)
-            vectors = gru.vectors_of(self.model.params, gru.lexicon(self.model.rows, unknown))
-            self.table[:, start:end] = gru.gate_inputs(self.model.params, vectors)
+            self.table[:, start:end] = self.gate_inputs(unknown)
             self.places.update(zip(unknown, range(start, end)))
         self.raw.update((word, self.places[form]) for word, form in forms.items())
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """The largest window score of each text; a text without words is one empty window."""
-        best = np.full(len(texts), -np.inf, np.float32)
-        ids, sizes, owners = [], [], []
+    def gate_inputs(self, unknown: list[str]) -> np.ndarray:
+        return gru.gate_inputs(self.model.params, gru.vectors_of(self.model.params, gru.lexicon(self.model.rows, unknown)))
+
+    def windows(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(text numbers, first words, logits)`` of all windows, in parts; a text without words is one empty window."""
+        ids, sizes, owners, firsts = [], [], [], []
         held = 0
         for number, text in enumerate(texts):
             if len(self.raw) > CACHE and not held:
@@ -93,86 +102,146 @@ class Scorer:
                 ids.append(flat[some[:, None] + np.arange(WINDOW)])
                 sizes.append(np.full(len(some), min(WINDOW, sum(map(len, parts)))))
                 owners.append(np.full(len(some), number))
+                firsts.append(some)
                 held += len(some)
                 if held >= CHUNK:
-                    self.settle(best, ids, sizes, owners)
-                    ids, sizes, owners, held = [], [], [], 0
+                    yield np.concatenate(owners), np.concatenate(firsts), self.logits(ids, sizes)
+                    ids, sizes, owners, firsts, held = [], [], [], [], 0
         if held:
-            self.settle(best, ids, sizes, owners)
+            yield np.concatenate(owners), np.concatenate(firsts), self.logits(ids, sizes)
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """The largest window score of each text."""
+        best = np.full(len(texts), -np.inf, np.float32)
+        for owners, _, logits in self.windows(texts):
+            np.maximum.at(best, owners, logits)
         return gru.sigmoid(best.astype(float))
 
-    def settle(self, best: np.ndarray, ids: list, sizes: list, owners: list) -> None:
+    def logits(self, ids: list, sizes: list) -> np.ndarray:
         mask = (np.arange(WINDOW)[:, None] < np.concatenate(sizes)[None]).astype(np.float32)
-        found = gru.logits(self.model.params, self.table, np.ascontiguousarray(np.concatenate(ids).T), mask)
-        np.maximum.at(best, np.concatenate(owners), found)
+        return gru.logits(self.model.params, self.table, np.ascontiguousarray(np.concatenate(ids).T), mask)
+
+
+class Leaning(Scorer):
+    """Scores a window by its word that leans most to the label, for a network that is not trained yet."""
+
+    def gate_inputs(self, unknown: list[str]) -> np.ndarray:
+        leaning = gru.leanings_of(self.model.params, gru.lexicon(self.model.rows, unknown))[:, 0]
+        return np.broadcast_to(leaning[None, :, None], (2, len(unknown), gru.GATES))
+
+    def logits(self, ids: list, sizes: list) -> np.ndarray:
+        held = np.arange(WINDOW)[None] < np.concatenate(sizes)[:, None]
+        return np.where(held, self.table[0, :, 0][np.concatenate(ids)], -9).max(axis=1)
+
 
+def sample_texts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """``(id, label, text)`` of a bounded number of labelled documents that are not held out, chosen by hash.
 
-def sample_texts(docs: DataFrame, labels: DataFrame, sample: int, label_col: str) -> pd.DataFrame:
-    """The plain words of a bounded sample of labelled documents that are not held out, chosen by hash."""
+    A label counts for one text: of rows that share an id the text with the smallest hash is taken.
+    """
     known = labels.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(2 * sample)
     chosen = chosen.unionByName(known.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(sample))
+    text = F.min_by("text", F.xxhash64("text")).alias("text")
+    return written(docs.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(text), "sample")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words = [" ".join(gru.plain(word) for part in pieces(text) for word in part) for text in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"].astype(str), "label": batch["label"], "words": words})
 
-    frame = docs.join(F.broadcast(chosen), "id").mapInPandas(run, "id string, label int, words string").toPandas()
-    # Repeated rows teach nothing new, and the order must not depend on the tasks.
-    return frame.drop_duplicates(["id", "words"]).sort_values(["id", "words"]).reset_index(drop=True)
+def known_features(sampled: DataFrame, size: int) -> Model:
+    """The features that tell most of the label, each with how far it is from an even spread, and fresh parameters.
 
+    How many sampled documents of each label have a feature is counted where the texts are; at
+    most ``size`` features of each part come to the driver.
+    """
 
-def training_windows(frame: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The words met, all windows of the texts as places in that list (-1 behind the end), and the row of each window.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[tuple[str, str], list[int]] = {}
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["label"]):
+                found = {(part, name) for words in pieces(text) for word in set(map(gru.plain, words)) for part, names in gru.features(word).items() for name in names}
+                for key in found:
+                    counts.setdefault(key, [0, 0])[int(label)] += 1
+        keys = [key for key in counts if key[1]]
+        yield pd.DataFrame(
+            {"part": [k[0] for k in keys], "name": [k[1] for k in keys], "no": [counts[k][0] for k in keys], "yes": [counts[k][1] for k in keys]}
+        ).astype({"part": str, "name": str, "no": np.int64, "yes": np.int64})
+
+    labels = {row.label: row.n for row in sampled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = labels.get(1, 0) / max(1, sum(labels.values()))
+    counted = sampled.select("label", "text").mapInPandas(run, "part string, name string, no long, yes long")
+    counted = counted.groupBy("part", "name").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).withColumn("n", F.col("no") + F.col("yes"))
+    even = F.col("n") * share
+    counted = written(counted.where(F.col("n") >= LEAST_TEXTS).withColumn("z", (F.col("yes") - even) / F.sqrt(even * (1 - share) + PRIOR)), "features")
+    rows, leaning = {}, {}
+    for part in gru.PARTS:
+        best = counted.where(F.col("part") == part).orderBy(F.desc(F.abs("z")), "name").limit(size).select("name", "z").toPandas().sort_values("name")
+        rows[part] = {name: i + 1 for i, name in enumerate(best["name"])}
+        leaning[part] = np.clip(best["z"].to_numpy(np.float32) / SPREAD, -1, 2)
+    return Model(rows, gru.fresh(rows, leaning=leaning))
+
+
+def chosen_windows(sampled: DataFrame, model: Model) -> pd.DataFrame:
+    """``(id, label, place, words)``: of each sampled document the windows of the highest scores, and some by chance.
+
+    All windows of the sampled texts are judged where the texts are; windows with the same words
+    are one. ``place`` counts from 0 by score and is -1 for those by chance.
+    """
+    sent = sampled.sparkSession.sparkContext.broadcast(model)
 
-    Windows that a text repeats are taken once.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = (Scorer if sent.value.trained else Leaning)(sent.value)
+        for batch in batches:
+            texts = list(batch["text"])
+            owners, firsts, logits = map(np.concatenate, zip(*scorer.windows(texts)))
+            rows = []
+            for number, (name, label, text) in enumerate(zip(batch["id"].astype(str), batch["label"], texts)):
+                words = [gru.plain(word) for part in pieces(text) for word in part]
+                mine = np.flatnonzero(owners == number)
+                ordered = mine[np.lexsort((firsts[mine], -logits[mine]))]
+                by_chance = ordered[np.argsort([xxhash.xxh32_intdigest(f"{name}:{firsts[at]}") for at in ordered], kind="stable")[:CHANCE]]
+                seen: set[str] = set()
+                for place, at in [*enumerate(ordered[: 4 * HIGHEST]), *((-1, at) for at in by_chance)]:
+                    window = " ".join(words[firsts[at] : firsts[at] + WINDOW])
+                    if window not in seen and (place < 0 or len(seen) < HIGHEST):
+                        seen.add(window)
+                        rows.append((name, int(label), len(seen) - 1 if place >= 0 else -1, float(logits[at]), window))
+            yield pd.DataFrame(rows, columns=["id", "label", "place", "logit", "words"])
+
+    frame = sampled.mapInPandas(run, "id string, label int, place int, logit double, words string").toPandas()
+    # The order must not depend on the tasks.
+    return frame.sort_values(["id", "place", "words"]).reset_index(drop=True)
+
+
+def trained(model: Model, frame: pd.DataFrame, passes: int, rng: np.random.Generator) -> Model:
+    """The network after some passes over the chosen windows.
+
+    A document has one label, its windows have none: the highest window of a toxic document is
+    taken for toxic, its others only if they score high too.
     """
+    windows = frame[(frame["label"] == 0) | (frame["place"] == 0) | ((frame["place"] > 0) & (frame["logit"] >= (0 if model.trained else 1)))]
     places: dict[str, int] = {"": 0}
-    found, owners = [], []
-    for row, text in enumerate(frame["words"]):
-        words = np.array([places.setdefault(w, len(places)) for w in text.split(" ")] if text else [], np.int64)
-        starts = window_starts(len(words))
-        words = np.pad(words, (0, max(0, WINDOW - len(words))), constant_values=-1)
-        found.append(np.unique(words[starts[:, None] + np.arange(WINDOW)], axis=0))
-        owners.append(np.full(len(found[-1]), row))
-    return list(places), np.concatenate(found or [np.zeros((0, WINDOW), np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
-
-
-def fit(frame: pd.DataFrame) -> Model:
-    """The network, from rows (id, label, words).
-
-    A window has the label of its document at first. Toxic documents also have windows without
-    a toxic word, so later passes take of them the windows that score high, the highest at
-    least; of the others they take those that score high by mistake and a share of the rest.
-    """
-    rows = gru.common_features([set(" ".join(words).split(" ")) for _, words in frame.groupby("id")["words"]])
-    params = gru.fresh(rows)
-    if frame["label"].nunique() < 2:
-        return Model(rows, params)
-    words, windows, owners = training_windows(frame)
-    labels, names = frame["label"].to_numpy(np.float32)[owners], frame["id"].to_numpy()[owners]
-    mask = np.ascontiguousarray((windows >= 0).T.astype(np.float32))
-    ids = np.ascontiguousarray(np.maximum(windows, 0).T)
-    lexical = gru.lexicon(rows, words)
-    adam, rng = gru.Adam(params, rate=0.01), np.random.default_rng(11)
-    used = np.arange(len(owners))
-    for number in range(PASSES):
-        if number == FREE_PASSES:
-            params, first = gru.fresh(rows), params
-            adam = gru.Adam(params, rate=0.01)
-        if number >= FREE_PASSES:
-            judge = first if number < FREE_PASSES + 2 else params
-            table = gru.gate_inputs(judge, gru.vectors_of(judge, lexical))
-            score = np.concatenate([gru.logits(judge, table, ids[:, s : s + CHUNK], mask[:, s : s + CHUNK]) for s in range(0, len(owners), CHUNK)])
-            place = pd.Series(score).groupby(names).rank(method="first", ascending=False).to_numpy()
-            toxic = (labels == 1) & ((place <= 1) | ((score >= 0) & (judge is params)))
-            clean = (labels == 0) & ((score >= -4) | (rng.random(len(score)) < 0.25))
-            used = np.flatnonzero(toxic | clean)
-        for _ in range(-(-LEAST_STEPS * gru.BATCH // len(used))):
-            gru.train_pass(params, adam, lexical, ids[:, used], mask[:, used], labels[used], rng)
-        adam.rate *= 0.85
-    return Model(rows, params)
+    split = [[places.setdefault(w, len(places)) for w in text.split(" ")] if text else [] for text in windows["words"]]
+    ids = np.zeros((WINDOW, len(split)), np.int64)
+    mask = np.zeros((WINDOW, len(split)), np.float32)
+    for number, words in enumerate(split):
+        ids[: len(words), number] = words
+        mask[: len(words), number] = 1
+    labels, lexical = windows["label"].to_numpy(np.float32), gru.lexicon(model.rows, list(places))
+    adam = gru.Adam(model.params, rate=0.01)
+    for _ in range(passes):
+        for _ in range(-(-LEAST_STEPS * gru.BATCH // max(1, len(split)))):
+            gru.train_pass(model.params, adam, lexical, ids, mask, labels, rng)
+        adam.rate *= 0.8
+    return Model(model.rows, model.params, trained=True)
+
+
+def fit(sampled: DataFrame, size: int = FEATURES) -> Model:
+    """The network, from a written sample (id, label, text)."""
+    model, rng = known_features(sampled, size), np.random.default_rng(11)
+    if sampled.select("label").distinct().count() < 2:
+        return model
+    for passes in PASSES:
+        model = trained(model, chosen_windows(sampled, model), passes, rng)
+    return model
 
 
 def score_toxicity(
@@ -187,7 +256,7 @@ def score_toxicity(
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample_texts(texts, known, sample, label_col)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(sample_texts(texts, known, sample)))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

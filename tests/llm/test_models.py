@@ -105,10 +105,46 @@ def test_score_is_the_worst_window():
     assert scorer.score(["  ".join(words), None])[0] == pytest.approx(max(alone), abs=1e-6)
 
 
-def test_training_takes_all_windows():
-    long = [f"w{i}" for i in range(2000)]
-    frame = pd.DataFrame({"id": ["a", "b", "c"], "label": [1, 0, 0], "words": [" ".join(long), "", "x y"]})
-    words, windows, owners = toxicity.training_windows(frame)
-    assert list(np.bincount(owners)) == [len(toxicity.window_starts(2000)), 1, 1]
-    assert {words[i] for i in windows[owners == 0].ravel()} == set(long)
-    assert (windows[owners == 1] == -1).all() and (windows[owners == 2] >= 0).sum() == 2
+def sampled(spark, *rows):
+    return spark.createDataFrame(rows, "id string, label int, text string")
+
+
+def test_training_judges_all_windows(spark):
+    """The one telling word stands late in a long text; the window that holds it comes out highest."""
+    long = [f"w{i}" for i in range(3000)]
+    rows = [(f"y{k}", 1, " ".join([*long[:2500], "Idiot!", *long[2500:]])) for k in range(6)]
+    rows += [(f"n{k}", 0, " ".join(long)) for k in range(20)] + [("e", 0, ""), ("z", 0, None)]
+    model = toxicity.known_features(sampled(spark, *rows), 50)
+    assert "idiot" in model.rows["word"] and all(len(known) <= 50 for known in model.rows.values())
+    chosen = toxicity.chosen_windows(sampled(spark, *rows), model)
+    best = chosen[(chosen.label == 1) & (chosen.place == 0)]
+    assert len(best) == 6 and all("idiot" in text.split() for text in best.words)
+    counts = chosen.groupby("id").size()
+    assert counts.max() <= toxicity.HIGHEST + toxicity.CHANCE and set(counts.index) == {r[0] for r in rows}
+    assert set(chosen[chosen.id.isin(["e", "z"])].words) == {""}
+
+
+def test_features_tell_how_labels_are_spread(spark):
+    rows = [(f"y{k}", 1, "Bad word") for k in range(8)] + [(f"n{k}", 0, "good word " * 3) for k in range(12)] + [("r", 0, "rare")]
+    model = toxicity.known_features(sampled(spark, *rows), 1000)
+    assert set(model.rows["word"]) == {"bad", "good", "word"}
+    lean = {name: float(model.params["word leaning"][row]) for name, row in model.rows["word"].items()}
+    even = 8 * 8 / 21
+    assert lean["bad"] == pytest.approx((8 - even) / np.sqrt(even * 13 / 21 + toxicity.PRIOR) / toxicity.SPREAD, abs=1e-6)
+    assert lean["good"] < 0 < lean["bad"] and abs(lean["word"]) < 0.1
+    assert set(model.rows["inner"]) == {"good", "word"} and "ba" not in model.rows["head"]
+
+
+def test_a_repeated_id_counts_once(spark, docs):
+    frame = docs((1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (5, "held"))
+    known = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (9, 0)], "id long, label int")
+    texts = frame.selectExpr("doc_id id", "text")
+    rows = {(r.id, r.label): r.text for r in toxicity.sample_texts(texts, known, 10).collect()}
+    assert rows.keys() <= {(1, 1), (2, 0)} and rows.get((1, 1), "a") in ("a", "b")
+
+
+def test_passages_lie_whole_in_some_window():
+    for n in (49, 60, 100, 500):
+        starts = toxicity.window_starts(n)
+        for first in range(n - toxicity.STRIDE + 1):
+            assert any(s <= first and first + toxicity.STRIDE <= s + toxicity.WINDOW for s in starts)
