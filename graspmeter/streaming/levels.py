@@ -34,18 +34,19 @@ def adaptive_states(
     trigger's (``maxFilesPerTrigger``). Write update mode.
     """
     fresh = (start_level - K.MIN_LEVEL) * 4
+    moves = {ok: [grading.next_state(state, ok) for state in range(4 * (K.MAX_LEVEL - K.MIN_LEVEL + 1))] for ok in (False, True)}
     timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         state, answered, late, last_us, last_id = kept.get if kept.exists else (fresh, 0, 0, _NO_PLACE, _NO_PLACE)
         expired = kept.hasTimedOut
         if not expired:
-            rows = pd.concat(list(frames)).sort_values(["us", "answer_id"])
-            for us, answer_id, is_correct in zip(rows["us"].tolist(), rows["answer_id"].tolist(), rows["is_correct"].tolist()):
+            rows = [row for frame in frames for row in zip(*(frame[c].tolist() for c in ("us", "answer_id", "is_correct")))]
+            for us, answer_id, is_correct in sorted(rows):
                 if (us, answer_id) <= (last_us, last_id):
                     late += 1
                     continue
-                state, answered, last_us, last_id = grading.next_state(state, bool(is_correct)), answered + 1, us, answer_id
+                state, answered, last_us, last_id = moves[is_correct][state], answered + 1, us, answer_id
         if expired:
             kept.remove()
         else:
