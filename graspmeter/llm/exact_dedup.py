@@ -21,6 +21,8 @@ from graspmeter.llm.common import one_space, written
 
 #: Distinct fingerprints that a block of the merged filter holds on average.
 BLOCK = 50_000
+#: Fingerprints of a partition that are sorted at once.
+NEW = 1 << 16
 #: Rows of one text that a task of the byte verification gets, and how many texts may be split.
 SHARE, HOT_TEXTS = 5_000, 1_000
 FILTER = "block int, remainders array<long>, counts array<long>"
@@ -34,15 +36,51 @@ def merge_sorted(remainders: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray
     return remainders[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
+class Build:
+    """A partition's fingerprints and counters, from batches of any size in time n log n.
+
+    New fingerprints wait until they are ``NEW``, then make a sorted run; a run is merged into
+    the one before it as soon as it is as long, so each fingerprint is moved a few times only.
+    """
+
+    def __init__(self):
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, fingerprints: np.ndarray) -> None:
+        self.waiting.append(fingerprints)
+        self.held += len(fingerprints)
+        if self.held >= NEW:
+            self.settle()
+            while len(self.runs) > 1 and len(self.runs[-2][0]) <= len(self.runs[-1][0]):
+                self.join_last()
+
+    def settle(self) -> None:
+        new = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.uint64)
+        self.runs.append(merge_sorted(new, np.ones(len(new), np.int64)))
+        self.waiting, self.held = [], 0
+
+    def join_last(self) -> None:
+        (keys, counts), (more, added) = self.runs.pop(), self.runs.pop()
+        self.runs.append(merge_sorted(np.r_[keys, more], np.r_[counts, added]))
+
+    def finished(self) -> tuple[np.ndarray, np.ndarray]:
+        self.settle()
+        while len(self.runs) > 1:
+            self.join_last()
+        return self.runs[0]
+
+
 def partition_filters(fingerprints: DataFrame, quotient_bits: int) -> DataFrame:
     """The counting quotient filter of each partition, a row for each block that is not empty."""
     shift = 64 - quotient_bits
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        build = Build()
         for batch in batches:
-            new = batch["fingerprint"].to_numpy(np.int64).view(np.uint64)
-            keys, counts = merge_sorted(np.r_[keys, new], np.r_[counts, np.ones(len(new), np.int64)])
+            build.add(batch["fingerprint"].to_numpy(np.int64).view(np.uint64))
+        keys, counts = build.finished()
         if not len(keys):
             return
         blocks = (keys >> np.uint64(shift)).astype(np.int64) if quotient_bits else np.zeros(len(keys), np.int64)

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
-from graspmeter.llm import simhash_dedup, substring_dedup
+from graspmeter.llm import exact_dedup, simhash_dedup, substring_dedup
 from graspmeter.llm.components import connected_components
 from graspmeter.llm.exact_dedup import drop_copies, exact_groups, merge_sorted
 from graspmeter.llm.golay import code
@@ -50,6 +50,29 @@ def test_exact_groups_with_nulls_ties_and_repeated_rows(docs):
     assert exact_groups(docs().limit(0)).count() == 0
 
 
+def test_filters_are_built_in_little_more_than_linear_time(monkeypatch):
+    """Small batches: what is sorted and merged grows as n log n, and the counters are those of one sort."""
+    moved = {}
+    for n in (20_000, 80_000):
+        moved[n] = 0
+
+        def counting(keys, counts, n=n):
+            moved[n] += len(keys)
+            return merge_sorted(keys, counts)
+
+        monkeypatch.setattr(exact_dedup, "merge_sorted", counting)
+        monkeypatch.setattr(exact_dedup, "NEW", 256)
+        keys = np.random.default_rng(n).integers(0, n // 2, n).astype(np.uint64)
+        build = exact_dedup.Build()
+        for start in range(0, n, 100):
+            build.add(keys[start : start + 100])
+        found = build.finished()
+        want = np.unique(keys, return_counts=True)
+        assert (found[0] == want[0]).all() and (found[1] == want[1]).all()
+    assert moved[80_000] < 6 * moved[20_000] and moved[80_000] < 80_000 * 12
+    assert len(exact_dedup.Build().finished()[0]) == 0
+
+
 def test_filters_merge_without_loss():
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 50, n) for n in (0, 1, 400, 30)]
