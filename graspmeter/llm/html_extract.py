@@ -1,9 +1,9 @@
 """Main text of pages by wrapper induction over the pages of a host.
 
-Each page becomes a tree of blocks. A page of each host, chosen by hash, is the pattern; all
-pages of the host are aligned with it by simple tree matching. A text that stands at a matched
-place and reads the same on nearly all pages belongs to the template; texts that vary fill
-slots. Slots inside menus, adverts, forms and other regions apart are no content either, as
+Each page becomes a tree of blocks. A few pages of each host, chosen by hash, are its patterns;
+all pages of the host are aligned with each of them by simple tree matching. A text that stands
+at a matched place of a pattern and reads the same on nearly all pages belongs to the template;
+texts that vary fill slots. Several patterns, as a single one may be an odd page of its host. Slots inside menus, adverts, forms and other regions apart are no content either, as
 their tags, classes and roles tell (their texts vary too).
 """
 
@@ -23,6 +23,8 @@ from graspmeter.llm.url_filters import split_url
 
 #: A text is constant if this share of at least so many other pages of the host have it.
 CONSTANT_SHARE, LEAST_PAGES = 0.8, 3
+#: Pages of a host that are patterns.
+PATTERNS = 3
 #: Shapes of subtrees that a worker remembers.
 SHAPES = 20_000
 
@@ -51,7 +53,7 @@ def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
 
 
 def aligned_pages(pages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """For each page the texts that equal the text at the matched place of its host's pattern.
+    """For each page and pattern of its host the texts that equal the text at the matched place.
 
     ``copy`` marks pages whose texts are all the pattern's; they say nothing about the template.
     """
@@ -69,11 +71,11 @@ def aligned_pages(pages: DataFrame, patterns: DataFrame) -> DataFrame:
                 pairs = matched_texts(Tree(skeleton), pattern, matcher)
                 same = [(at, to) for at, to in pairs if hashes[at] == others[to]]
                 rows.append(([a for a, _ in same], [b for _, b in same], list(hashes) == list(others)))
-            yield pd.DataFrame(rows, columns=["at", "to", "copy"]).assign(row=batch["row"], host=batch["host"])
+            yield pd.DataFrame(rows, columns=["at", "to", "copy"]).assign(row=batch["row"], host=batch["host"], pattern=batch["pattern"])
 
     columns = ["row", "host", "skeleton", "hashes"]
     joined = pages.select(columns).join(patterns, "host")
-    return joined.mapInPandas(run, "at array<int>, to array<int>, copy boolean, row long, host string")
+    return joined.mapInPandas(run, "at array<int>, to array<int>, copy boolean, row long, host string, pattern int")
 
 
 def main_texts(
@@ -93,20 +95,23 @@ def main_texts(
     parsed = written(parsed_pages(pages, id_col, url_col, html_col), "parsed")
     hosted = parsed.where("host <> ''")
     shape = F.struct("skeleton", "hashes")
-    patterns = hosted.groupBy("host").agg(F.min_by(shape, F.struct(F.xxhash64("id"), "row")).alias("p"))
-    patterns = written(patterns.select("host", F.col("p.skeleton").alias("p_skeleton"), F.col("p.hashes").alias("p_hashes")), "patterns")
+    first = [F.min_by(shape, F.struct(F.xxhash64(F.lit(k), "id"), "row")) for k in range(PATTERNS)]
+    chosen = hosted.groupBy("host").agg(F.array_distinct(F.array(*first)).alias("patterns"))
+    chosen = chosen.select("host", F.posexplode("patterns").alias("pattern", "p"))
+    patterns = written(chosen.select("host", "pattern", F.col("p.skeleton").alias("p_skeleton"), F.col("p.hashes").alias("p_hashes")), "patterns")
     aligned = written(aligned_pages(hosted, patterns), "aligned")
 
     telling = aligned.where("not copy")
-    seen = telling.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    equal = telling.select("host", F.explode("to").alias("text")).groupBy("host", "text").agg(F.count(F.lit(1)).alias("n"))
-    template = written(equal.join(seen, "host").where((F.col("n") >= share * F.col("pages")) & (F.col("pages") >= least_pages)).select("host", "text"), "template")
+    seen = telling.groupBy("host", "pattern").agg(F.count(F.lit(1)).alias("pages"))
+    equal = telling.select("host", "pattern", F.explode("to").alias("text")).groupBy("host", "pattern", "text").agg(F.count(F.lit(1)).alias("n"))
+    often = (F.col("n") >= share * F.col("pages")) & (F.col("pages") >= least_pages)
+    template = written(equal.join(seen, ["host", "pattern"]).where(often).select("host", "pattern", "text"), "template")
     dropped = (
-        aligned.select("row", "host", F.explode(F.arrays_zip("at", "to")).alias("m"))
-        .select("row", "host", F.col("m.at").alias("at"), F.col("m.to").alias("text"))
-        .join(template, ["host", "text"])
+        aligned.select("row", "host", "pattern", F.explode(F.arrays_zip("at", "to")).alias("m"))
+        .select("row", "host", "pattern", F.col("m.at").alias("at"), F.col("m.to").alias("text"))
+        .join(template, ["host", "pattern", "text"])
         .groupBy("row")
-        .agg(F.collect_list("at").alias("dropped"))
+        .agg(F.collect_set("at").alias("dropped"))
     )
     held = F.filter("texts", lambda t, i: t.isNotNull() & ~F.array_contains(F.coalesce("dropped", F.array().cast("array<int>")), i))
     return (
