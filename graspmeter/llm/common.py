@@ -46,6 +46,15 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """What a stage knows a row by: its id and text, those without id behind all others.
+
+    Rows that share an id are told apart by their texts, and rows without id too; rows that
+    share both are judged alike by every operator.
+    """
+    return F.struct(F.isnull(id_col).alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+
+
 def one_space(text: Column) -> Column:
     """``text`` with each run of white space as one space; null counts as empty.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graspmeter.llm.common import written
+from graspmeter.llm.common import row_key, written
 
 #: Words of a shingle, and the least similarity of a leak.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -185,6 +185,11 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold an item of the benchmark. Rows without id stay."""
-    leaks = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(leaks, F.col(id_col) == F.col("__id"), "left_anti")
+    """``docs`` without the rows whose text holds an item of the benchmark, with or without id.
+
+    Of rows that share an id each is judged by its own text. Nulls and empty tables are as in
+    ``contaminated``; all columns stay as they are.
+    """
+    keyed = docs.select(row_key(id_col, text_col).alias("__key"), text_col)
+    leaks = contaminated(keyed, benchmark, id_col="__key", text_col=text_col).select(F.col("__key").alias("__of")).distinct()
+    return docs.join(leaks, row_key(id_col, text_col) == F.col("__of"), "left_anti")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graspmeter.llm.common import held_out, written
+from graspmeter.llm.common import held_out, row_key, written
 from graspmeter.llm.gbdt import Forest, train
 
 #: Labelled documents that the trees learn from at most; a statistic each, no text, goes to the driver.
@@ -67,12 +67,12 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def text_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def text_statistics(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     @F.pandas_udf("array<double>")
     def udf(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(t) for t in texts])
 
-    return docs.select(F.col(id_col).alias("id"), udf(F.col(text_col)).alias("stats"))
+    return docs.select(F.col(id_col).alias("id"), udf(F.col(text_col)).alias("stats"), *more)
 
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int, label_col: str, id_col: str) -> Forest:
@@ -116,7 +116,19 @@ def score_quality(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that the classifier rejects. Rows without id stay."""
-    judged = score_quality(docs, labels, threshold, id_col=id_col, text_col=text_col)
-    rejected = judged.where("predicted = 0").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(rejected, F.col(id_col) == F.col("__id"), "left_anti")
+    """``docs`` without the rows that the classifier rejects, by their own texts.
+
+    Of rows that share an id each is judged, and so are rows without id; nulls, empty texts and
+    empty tables are as in ``score_quality``. All columns stay as they are.
+    """
+    key = row_key(id_col, text_col).alias("key")
+    found = text_statistics(docs.select(id_col, text_col, key), id_col, text_col, "key")
+    stats = written(found, "statistics")
+    forest = stats.sparkSession.sparkContext.broadcast(fit(stats, labels, SAMPLE, "quality", id_col))
+
+    @F.pandas_udf("double")
+    def score(batch: pd.Series) -> pd.Series:
+        return pd.Series(forest.value.score(np.stack(batch.to_numpy())) if len(batch) else [], dtype=float)
+
+    rejected = stats.where(score("stats") < threshold).select(F.col("key").alias("__key")).distinct()
+    return docs.join(rejected, row_key(id_col, text_col) == F.col("__key"), "left_anti")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graspmeter.llm.common import written
+from graspmeter.llm.common import row_key, written
 from graspmeter.llm.components import connected_components
 from graspmeter.llm.golay import code
 
@@ -159,7 +159,14 @@ def near_groups(
 def drop_near_copies(
     docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id. Rows without id stay."""
-    groups = near_groups(docs, size, max_bits, id_col, text_col)
-    dropped = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id"))
-    return docs.join(dropped, F.col(id_col) == F.col("__id"), "left_anti")
+    """``docs`` with one row of each group: that with the smallest id, of several the one of the smallest text hash.
+
+    Rows without id rank behind all others, and one stays of a group that has no id. Of rows
+    that share id and text one stays. Nulls and empty tables are as in ``near_groups``; all
+    columns stay as they are.
+    """
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    groups = near_groups(keyed.select("__key", text_col), size, max_bits, "__key", text_col)
+    dropped = groups.where(F.col("__key") != F.col("component_id")).select(F.col("__key").alias("__of")).distinct()
+    kept = keyed.join(dropped, F.col("__key") == F.col("__of"), "left_anti")
+    return kept.dropDuplicates(["__key"]).drop("__key")

@@ -99,7 +99,11 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the stretches cut out of the text; a new column ``removed_spans`` has their original offsets."""
+    """``docs`` with the stretches cut out of the text; ``removed_spans`` has their original offsets.
+
+    A column of that name is replaced; null texts stay null, and rows with nothing to remove have no spans.
+    """
+    docs = docs.drop("removed_spans")
     span = F.struct("begin", "end")
     spans = repeated_spans(docs, least_words, id_col, text_col).groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"))
     spans = spans.agg(F.array_sort(F.collect_list(span)).alias("removed_spans"))
