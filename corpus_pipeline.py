@@ -16,21 +16,30 @@ from graspmeter.llm.simhash_dedup import drop_near_copies
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+# Every stage judges each row by its id and text, so rows without id and rows that share one are
+# judged like all others. Null texts count as empty; an empty table gives an empty one; columns
+# besides doc_id, text and source are carried along, whatever their names.
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier accepts; ties with the threshold stay."""
     return keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: the smallest id, a row without id only where no other is."""
     prepared(spark)
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near texts: the smallest id, of several the one of the smallest text hash."""
     prepared(spark)
     return drop_near_copies(docs, size=3, max_bits=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that hold no item of the benchmark; without items all stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
