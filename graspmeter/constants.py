@@ -1,4 +1,8 @@
-"""Fixed values the results depend on: word lists, patterns, limits and question texts."""
+"""Fixed values the results depend on: word lists, patterns, limits and question texts.
+
+Patterns are written for Java's engine: possessive quantifiers keep its stack flat on long texts,
+and look-arounds stand for word boundaries, which it defines over all letters.
+"""
 
 from __future__ import annotations
 

@@ -305,6 +305,17 @@ def s14_mark_shown(spark, sf_dir):
     return state.mark_shown(shown, D.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("question_id")))
 
 
+@query("s14_mark_shown_by_user", """
+SELECT DISTINCT o_custkey AS user_id, l_partkey AS question_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+UNION SELECT c_custkey, c_custkey % 100 + 1 FROM customer""")
+def s14_mark_shown_by_user(spark, sf_dir):
+    key = F.col("c_custkey")
+    shown = D.table(spark, sf_dir, "customer").select(key.alias("user_id"), (key % 100 + 1).alias("question_id"))
+    orders = D.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    items = D.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("question_id"))
+    return state.mark_shown(shown, items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), ["user_id"])
+
+
 @query("s15_reset_state", "SELECT 'sessions' AS name, o_orderkey AS key, o_custkey AS user_id FROM orders")
 def s15_reset_state(spark, sf_dir):
     """Of two saved tables one is reset; what is left is shown."""

@@ -29,9 +29,10 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, version: Column) ->
     )
 
 
-def mark_shown(shown: DataFrame, question_ids: DataFrame) -> DataFrame:
-    """Set union of the ids already shown and new ones."""
-    return shown.select("question_id").union(question_ids.select("question_id")).distinct()
+def mark_shown(shown: DataFrame, question_ids: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Set union of the ids already shown and new ones, of all or for each value of ``by`` (``["user_id"]``)."""
+    columns = [*(by or []), "question_id"]
+    return shown.select(columns).union(question_ids.select(columns)).distinct()
 
 
 def pin(pinned: DataFrame, files: DataFrame) -> DataFrame:
