@@ -42,12 +42,15 @@ def features(word: str) -> dict[str, list[str]]:
 
 def lexicon(rows: Rows, words: list[str]) -> dict[str, np.ndarray]:
     """Feature rows of the words, (words, features of the part); 0 where a feature is not known."""
-    found: dict[str, list[list[int]]] = {part: [] for part in PARTS}
-    for word in words:
-        for part, names in features(word).items():
-            known = rows.get(part, {})
-            found[part].append([known.get(name, 0) for name in names])
-    return {part: np.array(lists, np.int64).reshape(len(words), -1) for part, lists in found.items()}
+    word, head, tail, inner = (rows.get(part, {}).get for part in PARTS)
+    # A run behind the end of a word is shorter than all known ones, so it needs no test.
+    found = {
+        "word": [word(w, 0) for w in words],
+        "head": [head(w[:n], 0) for w in words for n in HEADS],
+        "tail": [tail(w[-n:], 0) for w in words for n in TAILS],
+        "inner": [inner(w[i : i + RUN], 0) for w in words for i in RUNS],
+    }
+    return {part: np.array(numbers, np.int64).reshape(len(words), -1) for part, numbers in found.items()}
 
 
 def known_share(rows: np.ndarray) -> np.ndarray:

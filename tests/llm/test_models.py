@@ -136,6 +136,15 @@ def test_features_tell_how_labels_are_spread(spark):
     assert set(model.rows["inner"]) == {"good", "word"} and "ba" not in model.rows["head"]
 
 
+def test_rows_of_words_are_those_of_their_features():
+    words = ["", "a", "idiot", "Übermäßig", "x" * 40, "word", "wor"]
+    names = {part: sorted({n for w in words[::2] for n in gru.features(w)[part] if n}) for part in gru.PARTS}
+    rows = {part: {name: i + 1 for i, name in enumerate(known)} for part, known in names.items()}
+    for part, found in gru.lexicon(rows, words).items():
+        assert found.tolist() == [[rows[part].get(name, 0) for name in gru.features(w)[part]] for w in words]
+    assert not any(found.any() for found in gru.lexicon({}, words).values())
+
+
 def test_a_repeated_id_counts_once(spark, docs):
     frame = docs((1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (5, "held"))
     known = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (9, 0)], "id long, label int")
