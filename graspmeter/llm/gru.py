@@ -65,9 +65,22 @@ def leanings_of(params: Params, lexical: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([each.max(axis=1), each.min(axis=1)], axis=1)
 
 
+def means_of(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each word the mean of the table's rows that are known, zero without any. Most features of most words are not."""
+    flat = rows.ravel()
+    at = np.flatnonzero(flat)
+    found = np.zeros((len(rows), table.shape[1]), np.float32)
+    if len(at):
+        owner = at // rows.shape[1]
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        number = np.diff(np.r_[starts, len(at)])[:, None]
+        found[owner[starts]] = np.add.reduceat(table[flat[at]], starts, axis=0) / number
+    return found
+
+
 def vectors_of(params: Params, lexical: dict[str, np.ndarray]) -> np.ndarray:
     """For each word the mean embeddings of its known features, part by part, and how they lean."""
-    means = [np.einsum("nk,nkd->nd", known_share(r), params[part][r]) for part, r in lexical.items()]
+    means = [means_of(params[part], r) for part, r in lexical.items()]
     return np.concatenate([*means, leanings_of(params, lexical)], axis=1, dtype=np.float32)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,9 @@ PASSES = (5, 5)
 #: Steps that a pass has at least; a small sample is gone through several times for that.
 LEAST_STEPS = 60
 #: Words that a worker remembers, windows that it scores at once, characters it splits at once.
-CACHE, CHUNK, PIECE = 200_000, 2_048, 1 << 20
+CACHE, CHUNK, PIECE = 400_000, 2_048, 1 << 20
+#: Characters of texts whose words are looked up together.
+GROUP = 1 << 18
 SPACE = re.compile(r"\s")
 
 
@@ -84,23 +86,43 @@ class Scorer:
     def gate_inputs(self, unknown: list[str]) -> np.ndarray:
         return gru.gate_inputs(self.model.params, gru.vectors_of(self.model.params, gru.lexicon(self.model.rows, unknown)))
 
+    def places_of(self, texts: list[str | None], free: Callable[[], bool]) -> Iterator[tuple[int, np.ndarray]]:
+        """For each text its words as places in the table; ``free`` tells whether no places are in use.
+
+        Short texts learn their words together, a long one piece by piece.
+        """
+        start = 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size + len(texts[end] or "") <= GROUP):
+                size += len(texts[end] or "")
+                end += 1
+            if len(self.raw) > CACHE and free():
+                self.clear()
+            together = end - start > 1 or size <= PIECE
+            split = [list(pieces(text)) for text in texts[start:end]] if together else [pieces(texts[start])]
+            if together:
+                self.learn({word for parts in split for words in parts for word in words})
+            for number, parts in enumerate(split, start):
+                found = [np.zeros(0, np.int32)]
+                for words in parts:
+                    if not together:
+                        self.learn(set(words))
+                    found.append(np.fromiter(map(self.raw.__getitem__, words), np.int32, len(words)))
+                yield number, np.concatenate(found)
+            start = end
+
     def windows(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """``(text numbers, first words, logits)`` of all windows, in parts; a text without words is one empty window."""
         ids, sizes, owners, firsts = [], [], [], []
         held = 0
-        for number, text in enumerate(texts):
-            if len(self.raw) > CACHE and not held:
-                self.clear()
-            parts = []
-            for words in pieces(text):
-                self.learn(set(words))
-                parts.append(np.fromiter(map(self.raw.__getitem__, words), np.int32, len(words)))
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        for number, words in self.places_of(texts, lambda: not held):
+            flat = words
             starts = window_starts(len(flat))
             flat = np.pad(flat, (0, max(0, WINDOW - len(flat))))
             for some in np.array_split(starts, -(-len(starts) // CHUNK)):
                 ids.append(flat[some[:, None] + np.arange(WINDOW)])
-                sizes.append(np.full(len(some), min(WINDOW, sum(map(len, parts)))))
+                sizes.append(np.full(len(some), min(WINDOW, len(words))))
                 owners.append(np.full(len(some), number))
                 firsts.append(some)
                 held += len(some)

@@ -158,3 +158,24 @@ def test_passages_lie_whole_in_some_window():
         starts = toxicity.window_starts(n)
         for first in range(n - toxicity.STRIDE + 1):
             assert any(s <= first and first + toxicity.STRIDE <= s + toxicity.WINDOW for s in starts)
+
+
+def test_scores_do_not_depend_on_groups(monkeypatch):
+    rows = {"word": {"idiot": 1}, "head": {"abc": 1, "abcd": 2}, "tail": {}, "inner": {"word": 1}}
+    model = toxicity.Model(rows, gru.fresh(rows), True)
+    texts = ["", None, "one idiot", "word " * 3000, *(" ".join(f"abcd{i * k} w{k}" for k in range(i)) for i in range(80))]
+    want = toxicity.Scorer(model).score(texts)
+    for group, piece, cache in ((1, 1 << 20, 5), (1 << 18, 40, 5), (300, 1000, 50)):
+        monkeypatch.setattr(toxicity, "GROUP", group)
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        monkeypatch.setattr(toxicity, "CACHE", cache)
+        assert toxicity.Scorer(model).score(texts) == pytest.approx(want, abs=1e-6)
+
+
+def test_means_are_of_known_rows():
+    rng = np.random.default_rng(2)
+    table, rows = rng.normal(size=(9, 4)).astype(np.float32), rng.integers(0, 9, (50, 6)) * (rng.random((50, 6)) < 0.3)
+    table[0] = 0
+    want = [np.mean([table[r] for r in row if r], axis=0) if row.any() else np.zeros(4) for row in rows]
+    assert np.allclose(gru.means_of(table, rows), want, atol=1e-6)
+    assert not gru.means_of(table, np.zeros((3, 2), np.int64)).any()
