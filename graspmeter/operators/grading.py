@@ -105,14 +105,15 @@ def grade(answers: DataFrame, questions: DataFrame, detailed: bool = False) -> D
 
     ``questions(question_id, options, explanation, difficulty, file, start_line)``.
     ``detailed`` takes the depth from the difficulty, quotes the chosen text and names the
-    misconception.
+    misconception. Both sides are dealt out by question: option texts take many times the size
+    that Spark goes by, so a bank of a million questions must not be broadcast through the driver.
     """
     key = answer_key(
         questions.select("question_id", "options", "explanation", "difficulty", "file", "start_line")
     )
     kept = [c for c in answers.columns if c != "is_correct"]
     columns = graded_columns(detailed)
-    return answers.join(key, "question_id").select(*kept, *[c.alias(n) for n, c in columns.items()])
+    return answers.join(key.hint("merge"), "question_id").select(*kept, *[c.alias(n) for n, c in columns.items()])
 
 
 def session_scores(answers: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def learning_paths(
     places = wrong.groupBy("user_id", "file", "start_line").agg(F.min_by(F.struct("question_id", "selected_label"), newest).alias("x"), F.min(newest).alias("o"))
     first = places.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("o"))).where(F.col("rank") <= n)
     concept = F.concat(F.replace("category", F.lit("-"), F.lit(" ")), F.lit(" — "), F.substring("question", 1, 60), F.lit("…"))
-    from_answers = answer_key(questions).join(first.select("user_id", "rank", "x.*"), "question_id").select(
+    from_answers = answer_key(questions).hint("merge").join(first.select("user_id", "rank", "x.*"), "question_id").select(
         "user_id", F.lit(0).alias("branch"), "rank", "file", "start_line", "end_line", concept.alias("concept"),
         graded_columns()["feedback"].alias("why_it_matters"),
     )
@@ -227,7 +227,7 @@ def history(
     return (
         session_questions.join(first, ["session_id", "question_id"], "left")
         .join(about_session, "session_id")
-        .join(key, "question_id")
+        .join(key.hint("merge"), "question_id")
         .select(
             "user_id",
             "session_no",

@@ -85,7 +85,7 @@ _ANSWER_ID = "concat_ws('-', session_id, pos, question_id, tie_1, tie_2)"
        }) + " AS prompt FROM j")
 def l4_eval_and_path_prompts(spark, sf_dir):
     key = grading.answer_key(D.questions_with_options(spark, sf_dir))
-    rows = D.answers(spark, sf_dir).join(key.select("question_id", "question", "texts", "right_label", "right_text"), "question_id")
+    rows = D.answers(spark, sf_dir).join(key.select("question_id", "question", "texts", "right_label", "right_text").hint("merge"), "question_id")
     return chunks.answer_prompts(
         rows.select(
             F.concat_ws("-", "session_id", "pos", "question_id", "tie_1").alias("answer_id"),
