@@ -14,14 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+#: Files that a task parses; a row of a few bytes is one, so a small table can hold hours of work.
+FILES_A_TASK = 2_000
+
+
+def spread(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """``df`` in as many partitions as the caller names in ``graspmeter.input.partitions``.
 
-    Without that setting the files' own splits are used and nothing is shuffled. It is meant for
-    inputs that come as one small file.
+    Without that setting in partitions of about ``rows`` rows, so that tasks do not grow with the
+    table. Where no ``rows`` are given, or the table has no more than that, the files' own splits
+    are used and nothing is shuffled.
     """
-    wanted = df.sparkSession.conf.get("graspmeter.input.partitions", None)
-    return df.repartition(int(wanted), key) if wanted else df
+    wanted = int(df.sparkSession.conf.get("graspmeter.input.partitions", None) or (-(-df.count() // rows) if rows else 1))
+    return df.repartition(wanted, key) if wanted > 1 else df
 
 
 # --- source corpus: one generated file per part -----------------------------------------
@@ -82,7 +87,7 @@ CODE_FILES_SQL = (
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, path, relative_path, language, repo, content."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return spread(part, "p_partkey").selectExpr(
+    return spread(part, "p_partkey", FILES_A_TASK).selectExpr(
         *[f"{_CODE_COLUMNS[c]} AS {c}" for c in ("file_id", "path", "language", "repo", "content")],
         f"{_CODE_COLUMNS['path']} AS relative_path",
     )

@@ -2,6 +2,7 @@
 
 import pytest
 from graspmeter.operators.grading import grade
+from graspmeter.plans import driver_tables as D
 from pyspark.sql import functions as F
 
 
@@ -22,3 +23,22 @@ def test_option_texts_are_not_broadcast(spark, detailed):
     got = grade(answers, bank(spark), detailed)
     assert "Broadcast" not in plan(got)
     assert sorted((r.session_id, r.question_id, r.is_correct) for r in got.collect()) == [(1, 0, True), (1, 1, False), (2, 2, False)]
+
+
+def test_files_of_a_small_table_are_dealt_out(spark, tmp_path):
+    """A row of a few bytes is a file to parse, so tasks go by rows and not by bytes."""
+    n = 3 * D.FILES_A_TASK - 5
+    part = spark.range(1, n + 1, 1, 1).select(F.col("id").alias("p_partkey"), F.lit("Brand#11").alias("p_brand"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    files = D.code_files(spark, str(tmp_path))
+    sizes = [r["count"] for r in files.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and len(sizes) == 3 and max(sizes) < 1.2 * D.FILES_A_TASK
+    assert files.select("file_id").distinct().count() == n
+
+
+def test_tables_without_rows_or_keys_are_dealt_out(spark, tmp_path):
+    none = spark.range(2 * D.FILES_A_TASK).select(F.lit(None).cast("long").alias("p_partkey"), F.lit("Brand#11").alias("p_brand"))
+    none.write.parquet(f"{tmp_path}/nulls/part.parquet")
+    none.limit(0).write.parquet(f"{tmp_path}/empty/part.parquet")
+    assert D.code_files(spark, f"{tmp_path}/nulls").count() == 2 * D.FILES_A_TASK
+    assert D.code_files(spark, f"{tmp_path}/empty").count() == 0
