@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graspmeter.functions.text import split_lines
+from graspmeter.functions.text import let, split_lines
 from graspmeter.operators.ranges import interval_join
 from graspmeter.session import materialize
 
@@ -34,17 +34,35 @@ def nested_blocks(files: DataFrame) -> DataFrame:
     only closes a bracket goes on with the line before it, so a head may span lines.
     Text in strings of several lines is taken as it is indented. Null contents have no blocks.
     """
-    scripts = files.where("language = 'python'").select("file_id", F.posexplode(split_lines(F.col("content"))).alias("line_no", "line"))
-    kind, name = (F.regexp_extract("line", _HEAD, group) for group in (1, 2))
-    lines = scripts.select(
-        "file_id", "line_no", F.when(F.col("line").rlike(r"\A\s*(?:[)\]}]|\z)"), None).otherwise(indent_width(F.col("line"))).alias("indent"),
-        F.regexp_replace(kind, r"[ \t]+", " ").alias("kind"), name.alias("name"),
-    )
-    lines = materialize(lines, "lines")
-    ends = lines.groupBy("file_id").agg(F.max("line_no").alias("last_line"), F.array_sort(F.collect_set(F.when(F.col("kind") != "", F.col("indent")))).alias("indents"))
-    ends = ends.where(F.size("indents") > 0)
+    def head(line: Column) -> Column:
+        kind, name = (F.regexp_extract(line, _HEAD, group) for group in (1, 2))
+        return F.struct(F.regexp_replace(kind, r"[ \t]+", " ").alias("kind"), name.alias("name"))
+
+    def of_line(line: Column, i: Column) -> Column:
+        indent = F.when(~line.rlike(r"\A\s*(?:[)\]}]|\z)"), indent_width(line))
+        return F.struct(i.alias("line_no"), indent.alias("indent"), head(line).alias("head"))
+
+    def ends_some(row: Column, before: Column) -> Column:
+        """A head, or the first line behind what the line before it has not ended yet."""
+        deeper = (before["indent"] > row["indent"]) | ((before["head"]["kind"] != "") & (before["indent"] == row["indent"]))
+        return (row["head"]["kind"] != "") | F.coalesce(deeper, F.lit(False))
+
+    def kept(rows: Column) -> Column:
+        return F.filter(rows, lambda row, i: ends_some(row, F.get(rows, i - 1)))
+
+    def with_indents(rows: Column) -> Column:
+        heads = F.filter(rows, lambda r: r["head"]["kind"] != "")
+        return F.struct(rows.alias("lines"), F.array_sort(F.array_distinct(F.transform(heads, lambda r: r["indent"]))).alias("indents"))
+
+    def of_text(text: Column) -> Column:
+        rows = let(F.filter(F.transform(text, of_line), lambda r: r["indent"].isNotNull()), kept)
+        return F.struct((F.size(text) - 1).alias("last_line"), let(rows, with_indents).alias("found"))
+
+    # Blocks end at few lines, so the others are left out before lines become rows.
+    listed = files.where("language = 'python'").select("file_id", let(split_lines(F.col("content")), of_text).alias("f"))
+    listed = materialize(listed.select("file_id", "f.last_line", "f.found.*"), "lines")
+    filed = listed.select("file_id", "last_line", "indents", F.inline("lines")).select("file_id", "last_line", "indents", "line_no", "indent", "head.*")
     # A line ends the blocks of its own and of deeper indents.
-    filed = lines.where("indent is not null").join(ends, "file_id")
     filed = filed.withColumn("of", F.explode(F.filter("indents", lambda d: d >= F.col("indent"))))
     following = F.lead("line_no").over(Window.partitionBy("file_id", "of").orderBy("line_no"))
     found = filed.withColumn("following", following).where((F.col("kind") != "") & (F.col("of") == F.col("indent")))

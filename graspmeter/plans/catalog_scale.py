@@ -263,7 +263,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS file_id, {_named('name')} AS name, kind, CA
 FROM part CROSS JOIN t""")
 def f8_nested_blocks(spark, sf_dir):
     """A class with methods and a function inside of one, behind as many lines as the part's size; indented by tabs in every second file."""
-    part = D.table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    part = D.spread(D.table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", D.FILES_A_TASK)
     text = F.replace(F.lit(_PYTHON), F.lit("N"), F.col("p_partkey").cast("string"))
     tabbed = F.when(F.col("p_partkey") % 2 == 0, F.replace(text, F.lit("    "), F.lit("\t"))).otherwise(text)
     files = part.select(

@@ -2,6 +2,7 @@
 
 import pytest
 from graspmeter.operators.grading import grade
+from graspmeter.operators import py_blocks
 from graspmeter.plans import driver_tables as D
 from pyspark.sql import functions as F
 
@@ -42,3 +43,20 @@ def test_tables_without_rows_or_keys_are_dealt_out(spark, tmp_path):
     none.limit(0).write.parquet(f"{tmp_path}/empty/part.parquet")
     assert D.code_files(spark, f"{tmp_path}/nulls").count() == 2 * D.FILES_A_TASK
     assert D.code_files(spark, f"{tmp_path}/empty").count() == 0
+
+
+def spied(monkeypatch, module):
+    """The frames that ``module`` writes, by name."""
+    frames, write = {}, module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name: write(frames.setdefault(name, df), name))
+    return frames
+
+
+def test_lines_that_end_no_block_are_left_out_early(spark, monkeypatch):
+    text = "class A:\n" + "    x = 1\n" * 300 + "    def m(self):\n" + "        y = 2\n" * 300 + "z = 3\n" * 300
+    frames = spied(monkeypatch, py_blocks)
+    frame = spark.createDataFrame([("a.py", "python", text)], "file_id string, language string, content string")
+    got = py_blocks.nested_blocks(frame).select("name", "start_line", "end_line", "parent_name").collect()
+    assert sorted(map(tuple, got)) == [("A", 0, 600 + 1, None), ("m", 301, 601, "A")]
+    lines = frames["lines"]
+    assert (lines.select(F.explode("lines")) if "lines" in lines.columns else lines).count() < 10
