@@ -227,7 +227,9 @@ def function_extents(files: DataFrame, size: int = BLOCK_CHARS, run_blocks: int
     marks = code_marks(scripts, size, run_blocks)
     closed = paired(marks)
     openings = marks.where("kind <> '}'").select("file_id", "at", "kind")
-    placed = asof_join(_candidate_places(scripts), openings, ["file_id"], "at", "at", direction="forward")
+    # Dealing out by ranges reads its input twice, so what takes parsing is written first.
+    candidates = materialize(_candidate_places(scripts), "candidates")
+    placed = asof_join(candidates, openings, ["file_id"], "at", "at", direction="forward")
     bodies = placed.where("found.kind = '{'").select("file_id", "rule", "start_line", "column", "name", F.col("found.at").alias("open_at"))
     first = F.min_by(F.struct("name", "open_at", "close_at", "close_line"), F.struct("column", "rule")).alias("f")
     return bodies.join(closed, ["file_id", "open_at"]).groupBy("file_id", "start_line").agg(first).select(

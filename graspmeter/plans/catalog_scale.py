@@ -15,7 +15,7 @@ from graspmeter.operators.ranges import asof_join, covered, interval_join
 from graspmeter.plans import catalog_code as code
 from graspmeter.plans import catalog_scores as scores
 from graspmeter.plans import driver_tables as D
-from graspmeter.session import work_dir
+from graspmeter.session import materialize, work_dir
 from graspmeter.sources import corpus
 
 QUERIES = {}
@@ -98,7 +98,8 @@ def x2_asof_join(spark, sf_dir):
 @query("f18_in_try_tables", code.ORACLES["f18_in_try"])
 def f18_in_try_tables(spark, sf_dir):
     """Calls and try blocks as separate tables, related by function and lines."""
-    functions = fn.functions(D.code_files(spark, sf_dir))
+    # Both tables come from one parse, and dealing out by ranges reads its input twice.
+    functions = materialize(fn.functions(D.code_files(spark, sf_dir)).select("file_id", "func_id", "calls", "try_blocks"), "facts")
     calls = fn.facts(functions, "calls").select("file_id", "func_id", "line", "callee")
     tries = fn.facts(functions, "try_blocks").select("func_id", "try_start", "try_end")
     return covered(calls, tries, ["func_id"], "line", "try_start", "try_end", "in_try").drop("func_id")

@@ -2,7 +2,8 @@
 
 import pytest
 from graspmeter.operators.grading import grade
-from graspmeter.operators import py_blocks
+from graspmeter.operators import py_blocks, ranges
+from graspmeter.plans import catalog
 from graspmeter.plans import driver_tables as D
 from pyspark.sql import functions as F
 
@@ -60,3 +61,11 @@ def test_lines_that_end_no_block_are_left_out_early(spark, monkeypatch):
     assert sorted(map(tuple, got)) == [("A", 0, 600 + 1, None), ("m", 301, 601, "A")]
     lines = frames["lines"]
     assert (lines.select(F.explode("lines")) if "lines" in lines.columns else lines).count() < 10
+
+
+@pytest.mark.parametrize("name", ["f5_function_extents", "f18_in_try_tables"])
+def test_files_are_parsed_before_rows_are_dealt_out_by_ranges(spark, sf, monkeypatch, name):
+    """Dealing out by ranges reads its input twice."""
+    frames = spied(monkeypatch, ranges)
+    catalog.QUERIES[name](spark, sf)
+    assert "part.parquet" not in plan(frames["asof"])
