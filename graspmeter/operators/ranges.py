@@ -12,6 +12,24 @@ from graspmeter.session import materialize
 
 #: Levels of bucket widths: lengths of a long differ by less than that many doublings.
 _LEVELS = 63
+#: Intervals are filed under wider buckets so that points look into fewer: at most so many
+#: doublings wider, and only while the pairs to compare stay below that multiple by estimate.
+_WIDER, _MORE_PAIRS = 6, 4.0
+
+
+def _filed_levels(costs: dict[int, float]) -> dict[int, int]:
+    """For each level the one that its intervals are filed under, itself or a wider one.
+
+    ``costs`` weighs the intervals of a level; times the width that is the pairs they are compared in.
+    """
+    spare = (_MORE_PAIRS - 1) * sum(cost * 2.0**n for n, cost in costs.items())
+    filed, wide = {}, None
+    for n in sorted(costs, reverse=True):
+        extra = costs[n] * (2.0**wide - 2.0**n) if wide is not None else 0.0
+        if wide is None or wide - n > _WIDER or extra > spare:
+            wide, extra = n, 0.0
+        filed[n], spare = wide, spare - extra
+    return filed
 
 
 def interval_join(
@@ -20,17 +38,24 @@ def interval_join(
     """Every pair of a point and an interval of equal keys with ``start <= at <= end``.
 
     ``at``, ``start`` and ``end`` are integers (days, lines, microseconds). An interval is filed
-    under buckets of the first width ``width * 2 ** level`` that is longer than it, which are two
-    at most whatever its length; a point looks into one bucket of each level that occurs. So it is
-    an equi-join on keys, level and bucket: a key with very many rows spreads over its
-    buckets. Each pair meets in one bucket only. Rows with a null in keys or bounds match nothing.
+    under buckets of the first width ``width * 2 ** level`` that is longer than it, or of a wider
+    one that others need anyway, which are two at most whatever its length; a point looks into one
+    bucket of each level that is used. So it is an equi-join on keys, level and bucket: a key with
+    very many rows spreads over its buckets. Each pair meets in one bucket only. Rows with a null in keys or bounds match nothing.
 
     Columns: the keys, then all others of both sides; other equal names must not occur.
     """
     units = F.call_function("div", F.col(end) - F.col(start), F.lit(width))
     level = F.length(F.bin(units)).cast("int")
     sided = intervals.where(F.col(end) >= F.col(start)).withColumn("__level", level)
-    present = [row[0] for row in sided.select("__level").distinct().limit(_LEVELS + 1).collect()]
+    # A key's intervals weigh by their number, as its points probably do, so hot keys decide.
+    by_level = sided.groupBy(*keys, "__level").agg(F.count("*").alias("__n"))
+    of_key = by_level.groupBy(*keys).agg(F.sum("__n").cast("double").alias("__all"), F.collect_list(F.struct("__level", "__n")).alias("__by"))
+    costs = of_key.select("__all", F.inline("__by")).groupBy("__level").agg(F.sum(F.col("__all") * F.col("__n")))
+    places = _filed_levels(dict(tuple(row) for row in costs.limit(_LEVELS + 1).collect()))
+    if places:
+        wider = F.create_map(*[F.lit(n) for place in places.items() for n in place])
+        sided = sided.withColumn("__level", F.element_at(wider, F.col("__level")))
 
     def bucket(value: Column, of: Column) -> Column:
         wide = F.lit(width) * F.call_function("shiftleft", F.lit(1).cast("long"), of)
@@ -38,7 +63,7 @@ def interval_join(
 
     first, last = bucket(F.col(start), F.col("__level")), bucket(F.col(end), F.col("__level"))
     filed = sided.withColumn("__bucket", F.explode(F.array_distinct(F.array(first, last))))
-    levels = F.array(*[F.lit(n) for n in sorted(present)]).cast("array<int>")
+    levels = F.array(*[F.lit(n) for n in sorted(set(places.values()))]).cast("array<int>")
     looking = points.withColumn("__level", F.explode(levels)).withColumn("__bucket", bucket(F.col(at), F.col("__level")))
     met = looking.join(filed, [*keys, "__level", "__bucket"])
     return met.where(F.col(at).between(F.col(start), F.col(end))).drop("__level", "__bucket")

@@ -1,5 +1,7 @@
 """What must not grow with the tables: broadcasts, and the rows of a task."""
 
+import re
+
 import pytest
 from graspmeter.operators.grading import grade
 from graspmeter.operators import py_blocks, ranges
@@ -69,3 +71,16 @@ def test_files_are_parsed_before_rows_are_dealt_out_by_ranges(spark, sf, monkeyp
     frames = spied(monkeypatch, ranges)
     catalog.QUERIES[name](spark, sf)
     assert "part.parquet" not in plan(frames["asof"])
+
+
+def test_intervals_of_several_lengths_share_a_width(spark):
+    """Points are dealt out once for each width that is used."""
+    assert ranges._filed_levels({n: 2.0**n for n in range(1, 8)}) == dict.fromkeys(range(1, 8), 7)
+    assert ranges._filed_levels({}) == {} and ranges._filed_levels({20: 1.0, 1: 1e12}) == {20: 20, 1: 1}
+    far = ranges._filed_levels({n: 1.0 for n in range(0, 60, 6)})
+    assert all(far[n] - n <= 6 for n in far)
+    spans = spark.range(90).select(F.lit(1).alias("k"), (F.col("id") * 40).alias("a"), (F.col("id") * 41).alias("b"))
+    points = spark.range(4000).select(F.lit(1).alias("k"), F.col("id").alias("at"))
+    met = ranges.interval_join(points, spans, ["k"], "at", "a", "b")
+    assert met.count() == sum(i + 1 for i in range(90))
+    assert len(re.findall(r"explode\(\[7\]\)", plan(met))) == 1
