@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graspmeter.functions.text import running_sums
 from graspmeter.operators import code_functions as fn
+from graspmeter.operators import lexing
 from graspmeter.operators.lexing import brace_pairs, code_marks, function_extents
 
 
@@ -47,6 +48,25 @@ def test_blocks_equal_a_plain_lexer(files, size, run):
         assert sorted(got.get(f"{name}.ts", [])) == brute_pairs(text), repr(text)
 
 
+def test_a_text_is_cut_at_braces_and_semicolons_only(spark):
+    """Offsets are summed up over the pieces of a block, so words, strings and what an open quote swallows are none."""
+    pick = random.Random(3)
+    texts = ["".join(pick.choice("{};\"'`\\ \nab") for _ in range(pick.randrange(80))) for _ in range(300)] + ["", "a 'b' " * 50 + "{", "{\"};"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    place = lexing._place(F.lit(0), F.lit(0), F.lit(0), F.lit(0))
+    pieces = F.size(F.regexp_extract_all("text", F.lit(lexing._TOKEN), F.lit(0)))
+    for text, n, marks in frame.select("text", pieces, lexing._listed(F.col("text"), place)).collect():
+        want, quote = [], ""
+        for at, c in enumerate(text):
+            if quote:
+                quote = "" if c == quote and text[at - 1] != "\\" else quote
+            elif c in "\"'`":
+                quote = c
+            elif c in "{};":
+                want.append((c, at))
+        assert [(m.kind, m.at) for m in marks] == want and n == len(want), repr(text)
+
+
 def test_null_and_no_contents(spark, files):
     frame = files(a="{}").withColumn("content", F.when(F.lit(False), F.col("content")))
     assert brace_pairs(frame).count() == 0 and brace_pairs(files(a="{}").limit(0)).count() == 0
